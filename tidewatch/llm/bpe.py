@@ -30,14 +30,14 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import own_columns
 
@@ -48,6 +48,8 @@ SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
 #: Characters at which str.split splits though the vocabulary's expressions do not count them as space.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 IDS = "<u4"
+#: Rows whose tokens are held at once.
+ROWS = 256
 
 
 def byte_letters() -> list[str]:
@@ -200,20 +202,7 @@ class Tokenizer:
         return " ".join([labels[i] for i in np.frombuffer(ids, IDS).tolist()])
 
 
-def _tokens(docs: DataFrame, path: str, columns: list[str], schema: str, row: Any) -> DataFrame:
-    with open(path, "rb") as f:  # on the driver only
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizer(shared.value)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                made = [row(tok, t.as_py() or "") for t in part.column(0)]
-                cols = [part.column(i) for i in range(1, part.num_columns)] + [pa.array(list(x)) for x in (zip(*made))]
-                yield pa.RecordBatch.from_arrays(cols, [*columns, *NEW[row]])
-
-    return docs.select("text", *columns).mapInArrow(run, schema)
+Row = Callable[[Tokenizer, str], tuple]
 
 
 def _digest(tok: Tokenizer, text: str) -> tuple[int, str, str]:
@@ -221,19 +210,35 @@ def _digest(tok: Tokenizer, text: str) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tok.decode(ids).encode()).hexdigest()
 
 
-def _whole(tok: Tokenizer, text: str) -> tuple[list[int], str]:
+def _whole(tok: Tokenizer, text: str) -> tuple[np.ndarray, str]:
     ids = tok.encode(text)
-    return np.frombuffer(ids, IDS).tolist(), tok.decode(ids)
+    return np.frombuffer(ids, IDS).astype(np.int32), tok.decode(ids)
 
 
-NEW = {_digest: ("n_tokens", "ids_sha256", "decoded_sha256"), _whole: ("ids", "decoded")}
+def _tokens(docs: DataFrame, path: str, kept: Sequence[str], made: dict[str, pa.DataType], row: Row) -> DataFrame:
+    """The ``kept`` columns of ``docs`` and those that ``row`` makes of each text."""
+    with open(path, "rb") as f:  # on the driver only
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = Tokenizer(shared.value)
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                got = [row(tok, t.as_py() or "") for t in part.column(0)]
+                cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(made.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols], [*kept, *made])
+
+    own = own_columns(docs, ("text", *kept))
+    schema = T.StructType([*own.drop("text").schema.fields, *from_arrow_schema(pa.schema(list(made.items()))).fields])
+    return own.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (the text their labels give) for each row."""
-    return _tokens(own_columns(docs, ("doc_id", "text")), path, ["doc_id"], "doc_id bigint, ids array<bigint>, decoded string", _whole).withColumn("ids", F.col("ids").cast("array<int>"))
+def encode(docs: DataFrame, path: str, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, other columns of the documents, ids (array of int) and decoded (the text their labels give) for each row."""
+    return _tokens(docs, path, ["doc_id", *also], {"ids": pa.list_(pa.int32()), "decoded": pa.string()}, _whole)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row, made where the tokens are."""
-    return _tokens(own_columns(docs, ("doc_id", "text")), path, ["doc_id"], "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digest)
+    return _tokens(docs, path, ["doc_id"], {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, _digest)

@@ -14,15 +14,21 @@ BROADCAST_ROWS = 20_000
 SALTS = 16
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder the session names and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; only where it names none (tests, a laptop) is a temporary one made."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+        named = context.getCheckpointDir()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is
-    a temporary one made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

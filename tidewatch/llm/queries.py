@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, pii, simhash
+from . import bpe, fingerprint, host_quality, language, licences, mixing, pii, quality_fm, simhash, toxicity
 from .common import table
 
 #: Where the vocabulary files are; a parameter of the queries that need one.
@@ -20,14 +20,41 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.of_documents(table(spark, sf_dir, "documents")))
+
+
+def op1_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.of_pages(table(spark, sf_dir, "pages")), "page_id")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scanned(docs, licences.fit(docs))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path or vocabulary_path())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_fm.scored(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,8 +69,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op1_language_pages": op1_language_pages,
+    "op2_toxicity": op2_toxicity,
+    "op3_licences": op3_licences,
     "op4_pii": op4_pii,
+    "op5_host_quality": op5_host_quality,
     "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
