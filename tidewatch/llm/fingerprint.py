@@ -6,7 +6,7 @@ or deleted by adding or subtracting its vector (``insert``, ``delete``).  The ve
 
 * ``WIDE`` lanes of 32 bits, uniform hashes of the paragraph, summed modulo 2^32: equal for equal multisets of
   paragraphs, and else different but for chance;
-* ``len(SHIFTS) * HASHES * 3`` lanes of 20 bits, of which each of the paragraph's phrases (a few words, cut where a
+* ``len(SHIFTS) * HASHES * 3`` lanes of 18 bits, of which each of the paragraph's phrases (a few words, cut where a
   word's ending says so) sets about half, summed modulo powers of 2, three lanes to a long.  With the
   number of phrases they give the sum of vectors of +1 and -1, whose products estimate the multisets' likeness:
   2ab / (aa + bb), 0 at least.
@@ -33,7 +33,7 @@ from .common import own_columns, spread
 WIDE = 8
 HASHES = 2
 SHIFTS = range(16)
-LANE = 20
+LANE = 18
 _LOW = 0xFFFFFFFF
 _SET = 1 | 1 << LANE | 1 << 2 * LANE
 _ALL = (1 << 3 * LANE) - 1
@@ -43,34 +43,39 @@ PHRASE = r"(?<=[^A-Za-z\s]|[ehnEHN])[\x20\t]+|\n"
 BUCKETS = 6
 
 
-def _sum(values: Column, of: Callable[[Column], Column], wrap: int) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: (acc + of(x)).bitwiseAND(F.lit(wrap)))
-
-
 def _keyed(key: int) -> Callable[[Column], Column]:
     return lambda p: F.xxhash64(F.lit(key), p)
 
 
-def vector(text: Column) -> tuple[Column, Column]:
-    """What the sums are made of: hashes of the paragraphs (one array for each pair of lanes) and of the phrases (for each of HASHES)."""
-    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
-    wide = F.array(*[F.transform(lines, _keyed(k)) for k in range(WIDE // 2)])
-    phrases = F.filter(F.split(text, PHRASE, -1), lambda p: p != "")
-    fine = F.array(*[F.transform(phrases, _keyed(100 + k)) for k in range(HASHES)])
-    return wide, fine
+def _sum(hashes: Column, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: (acc + of(h)).bitwiseAND(F.lit(_LOW)))
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the fingerprint of a column of texts (not null): an array of longs."""
-    wide, fine = vector(F.col(text))
-    df = df.withColumn("_wide", wide).withColumn("_fine", fine)
+def wide_lanes(text: Column) -> Column:
+    """The uniform lanes of a text, two from each hash of its paragraphs."""
+    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
     lanes = []
     for k in range(WIDE // 2):
-        lanes.append(_sum(F.col("_wide")[k], lambda h: h.bitwiseAND(F.lit(_LOW)), _LOW))
-        lanes.append(_sum(F.col("_wide")[k], lambda h: F.shiftrightunsigned(h, 32), _LOW))
-    for k in range(HASHES):
-        lanes += [_sum(F.col("_fine")[k], lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_SET)), _ALL) for i in SHIFTS]
-    return df.withColumn(name, F.array(*lanes, F.size(F.col("_fine")[0]).cast("bigint"))).drop("_wide", "_fine")
+        hashes = F.transform(lines, _keyed(k))
+        lanes += [_sum(hashes, lambda h: h.bitwiseAND(F.lit(_LOW))), _sum(hashes, lambda h: F.shiftrightunsigned(h, 32))]
+    return F.array(*lanes)
+
+
+def fingerprinted(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the fingerprint of ``text`` (not null) in its place.  The other columns must tell rows apart.
+
+    The phrases' vectors are summed by a grouped aggregate, so that it is compiled: it needs no exchange where the
+    rows are dealt by some of their columns, and else one of sums, as rows of a text come together.
+    """
+    keys = [c for c in rows.columns if c != text]
+    rows = rows.withColumn("_wide", wide_lanes(F.col(text)))
+    phrases = rows.select(*keys, "_wide", F.explode_outer(F.split(text, PHRASE, -1)).alias("_p"))
+    real = F.coalesce(F.col("_p") != "", F.lit(False))
+    phrases = phrases.select(*keys, "_wide", F.when(real, 1).otherwise(0).alias("_1"), *[F.when(real, F.xxhash64(F.lit(100 + k), "_p")).otherwise(F.lit(0).cast("bigint")).alias(f"_f{k}") for k in range(HASHES)])
+    sums = [F.sum(F.shiftrightunsigned(f"_f{k}", i).bitwiseAND(F.lit(_SET))).alias(f"_s{k}_{i}") for k in range(HASHES) for i in SHIFTS]
+    summed = phrases.groupBy(*keys, "_wide").agg(F.sum("_1").alias("_n"), *sums)
+    fine = [F.col(f"_s{k}_{i}").bitwiseAND(F.lit(_ALL)) for k in range(HASHES) for i in SHIFTS]
+    return summed.select(*keys, F.concat("_wide", F.array(*fine, F.col("_n"))).alias(name))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -108,7 +113,7 @@ def likeness(a: Column, b: Column) -> Column:
 def text_of(v: Column) -> Column:
     """The fingerprint as lowercase hex: the wide lanes, then the others."""
     wide = F.transform(F.slice(v, 1, WIDE), lambda x: F.lpad(F.hex(x), 8, "0"))
-    return F.lower(F.array_join(F.concat(wide, F.transform(F.slice(v, WIDE + 1, HASHES * len(SHIFTS) + 1), lambda x: F.lpad(F.hex(x), 15, "0"))), ""))
+    return F.lower(F.array_join(F.concat(wide, F.transform(F.slice(v, WIDE + 1, HASHES * len(SHIFTS) + 1), lambda x: F.lpad(F.hex(x), 14, "0"))), ""))
 
 
 def id_splits(df: DataFrame, n: int) -> list[int]:
@@ -127,8 +132,11 @@ def reached(x: Column, cuts: list[int]) -> tuple[Column, Column]:
     return (row - 1) * width + F.size(inside), F.array_max(inside)
 
 
-def with_next(df: DataFrame, what: list[str]) -> DataFrame:
-    """``df`` (doc_id, text and others) and, as next_<column>, the given columns of the next row by ascending doc_id, the first row's after the last."""
+def with_next(df: DataFrame, what: list[str], ghosts: bool = False) -> DataFrame:
+    """``df`` (doc_id, text and others) and, as next_<column>, the given columns of the next row by ascending doc_id, the first row's after the last.
+
+    With ``ghosts``, also the bucket _b, the place _i in it, and the rows that are there for the row before only (_g = 1).
+    """
     cuts = id_splits(df, spread(df) * BUCKETS) or [0]
     n = len(cuts)
     bucket, opening = reached(F.col("doc_id"), cuts)
@@ -140,19 +148,30 @@ def with_next(df: DataFrame, what: list[str]) -> DataFrame:
     rows = df.select("*", F.xxhash64("text").alias("_h"), F.inline(F.when(opens, F.concat(home, also)).otherwise(home)))
     w = Window.partitionBy("_b").orderBy("_g", F.col("doc_id").asc_nulls_last(), "_h")
     after = F.lead(F.struct(*what)).over(w)
-    rows = rows.withColumn("_n", after).where("_g = 0")
-    return rows.select(*df.columns, *[F.col("_n")[c].alias(f"next_{c}") for c in what])
+    rows = rows.withColumn("_n", after).withColumn("_i", F.row_number().over(w))
+    if ghosts:
+        return rows.select("_b", "_g", "_i", *df.columns, *[F.col("_n")[c].alias(f"next_{c}") for c in what])
+    return rows.where("_g = 0").select(*df.columns, *[F.col("_n")[c].alias(f"next_{c}") for c in what])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row.
+
+    After the one exchange of texts, all is done where a bucket is: each row and the row it opens the next bucket for are
+    numbered, both texts of a row become rows of their own, and their fingerprints are brought together by a window.
+    """
     own = own_columns(docs, ("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = with_next(with_fingerprint(own, "text", "fp"), ["text", "fp"])
+    rows = with_next(own, ["text"], ghosts=True)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = with_fingerprint(rows.withColumn("edited", edited), "edited", "edited_fp")
-    return rows.select(
-        "doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("fp")).alias("fingerprint"),
-        text_of(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
+    rows = rows.select("_b", "_g", "_i", "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    both = F.array(F.struct(F.lit(0).alias("_e"), F.col("text")), F.struct(F.lit(1).alias("_e"), F.col("edited").alias("text")))
+    prints = fingerprinted(rows.select("_b", "_g", "_i", "doc_id", "n_chars", "edited_sha256", F.inline(both)), "text", "fp")
+    w = Window.partitionBy("_b").orderBy("_i", "_e")
+    prints = prints.withColumn("edited_fp", F.lead("fp", 1).over(w)).withColumn("next_fp", F.lead("fp", 2).over(w)).where("_g = 0 AND _e = 0")
+    return prints.select(
+        "doc_id", "n_chars", "edited_sha256", text_of(F.col("fp")).alias("fingerprint"), text_of(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
