@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lang.ast import Rule, WindowSchema
+from .functions.compile import Compiler
+from .functions.values import Value
+from .lang.ast import Call, Rule, WindowSchema
 from .lang.checker import check
 from .lang.preprocess import substitute
-from .lang.rule import parse_rules
+from .lang.rule import parse_expression, parse_rules
 from .lang.schema import parse_schemas
 from .operators import bind, conv, joins, match, output
 from .plans.plan import StagePlan, stage_plans
@@ -50,14 +52,14 @@ class Engine:
         assert out is not None, "the text has no rule"
         return out
 
-    def emissions(self, rule: Rule, final: str | None = "eos") -> tuple[StagePlan, DataFrame]:
+    def emissions(self, rule: Rule, final: str | None = "eos", clock: int | None = None) -> tuple[StagePlan, DataFrame]:
         """The last stage's plan and emissions, joins and conv done."""
         tables = dict(self.tables)
         plans = stage_plans(rule)
         df: DataFrame | None = None
         for k, plan in enumerate(plans):
             events = bind.bind(plan, tables, self.schemas, self.order)
-            df = match.run(plan, events, final)
+            df = match.run(plan, events, final, clock)
             if plan.limits and plan.limits.max_throttle:
                 df = match.throttled(df, plan.limits)
             for j in plan.match.joins:
@@ -78,4 +80,16 @@ class Engine:
 
     def alerts(self, rule: Rule, final: str | None = "eos") -> DataFrame:
         plan, df = self.emissions(rule, final)
-        return output.alerts(rule, plan, df if rule.conv else df.drop("end"))
+        target = self.schemas.get(rule.output.target)
+        return output.alerts(rule, plan, df if rule.conv else df.drop("end"), target.types if target else None)
+
+    def select(self, window: str, expressions: Mapping[str, str], keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+        """Expressions over a window's rows, without any matching."""
+        df = self.tables[window]
+        fields = bind.fields_of(df)
+        known: dict[Call, Value] = {}
+        compiler = Compiler(lambda ref: fields.get(ref.name), known.get, strict)
+        parsed = {name: parse_expression(text) for name, text in expressions.items()}
+        df = bind.with_membership(df, list(parsed.values()), self.tables, compiler, known)
+        values = {name: compiler.value(e) for name, e in parsed.items()}
+        return df.select(*keep, *[(v.column.cast("string") if v.kind == "null" else v.column).alias(name) for name, v in values.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import of_type, text
 from ..lang.ast import Join, WindowSchema
 from ..lang.tokens import RuleError
 from .bind import small
@@ -22,6 +23,11 @@ def snapshot(left: DataFrame, right: DataFrame, on: list[tuple[Column, str]], pr
     return left.join(small(first), cond, "left")
 
 
+def _texts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with its keys as texts, so that whole numbers of any type are equal."""
+    return df.withColumns({k: text(of_type(F.col(k), df.schema[k].dataType)) for k in keys})
+
+
 def asof(left: DataFrame, right: DataFrame, on: list[tuple[Column, str]], at: str, time: str, prefix: str, within: float | None = None, order: str | None = None) -> DataFrame:
     """Each left row with the latest right row of equal keys whose ``time`` is not after ``at`` (nor more than ``within`` before); of equal times the last by ``order``.
 
@@ -30,11 +36,12 @@ def asof(left: DataFrame, right: DataFrame, on: list[tuple[Column, str]], at: st
     if not on:
         raise RuleError("an as-of join needs a key")
     payload = F.struct(*[F.col(f"`{c}`").alias(c) for c in right.columns])
-    keys = [f"_j{i}" for i in range(len(on))]
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in left.columns])
-    rt = right.dropna(subset=[r for _, r in on])
-    r_side = rt.select(*[F.col(f"`{r}`").cast("string").alias(k) for k, (_, r) in zip(keys, on)], F.col(f"`{time}`").cast("timestamp").alias("_t"), F.lit(0).alias("_side"), (F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")).alias("_o"), payload.alias("_r"))
-    l_side = left.select(*[c.cast("string").alias(k) for k, (c, _) in zip(keys, on)], F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_o"), row.alias("_l"))
+    keys = [f"_j{i}" for i in range(len(on))]
+    place = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
+    right = right.dropna(subset=[r for _, r in on])
+    r_side = _texts(right.select(*[F.col(f"`{r}`").alias(k) for k, (_, r) in zip(keys, on)], F.col(f"`{time}`").cast("timestamp").alias("_t"), F.lit(0).alias("_side"), place.alias("_o"), payload.alias("_r")), keys)
+    l_side = _texts(left.select(*[c.alias(k) for k, (c, _) in zip(keys, on)], F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_o"), row.alias("_l")), keys)
     both = r_side.unionByName(l_side, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_hit", F.last(F.when(F.col("_side") == 0, F.struct("_t", "_r")), ignorenulls=True).over(w)).where("_side = 1")

@@ -26,9 +26,9 @@ def _keys(plan: StagePlan) -> list[str]:
     return [f"k{i}" for i in range(len(plan.key_names))]
 
 
-def watermark(events: DataFrame) -> Column:
-    """The latest event time, as a scalar subquery."""
-    return events.agg(F.max("ts").alias("wm")).scalar()
+def watermark(events: DataFrame, clock: int | None = None) -> Column:
+    """The latest event time, as a scalar subquery, or the given clock (microseconds)."""
+    return events.agg(F.max("ts").alias("wm")).scalar() if clock is None else F.timestamp_micros(F.lit(clock))
 
 
 def need_types(plan: StagePlan, events: DataFrame) -> list[str]:
@@ -40,14 +40,17 @@ def need_types(plan: StagePlan, events: DataFrame) -> list[str]:
     return got
 
 
-def run(plan: StagePlan, events: DataFrame, final: str | None = "eos") -> DataFrame:
-    """The stage's emissions.  ``final`` is how windows close that are open at the end; none leaves them open."""
+def run(plan: StagePlan, events: DataFrame, final: str | None = "eos", clock: int | None = None) -> DataFrame:
+    """The stage's emissions.  ``final`` is how windows close that are open at the end; none leaves them open.
+
+    The end is the latest event's time, or ``clock``.
+    """
     strategy = plan.strategy
     if strategy == "close_agg" and all(not b.distinct or b.measure == "count" for b in plan.branches):
-        return close_agg(plan, events, final)
+        return close_agg(plan, events, final, clock)
     if strategy == "modular":
         return modular(plan, events)
-    return fold(plan, events, final, one=strategy == "global_fold")
+    return fold(plan, events, final, strategy == "global_fold", clock)
 
 
 # Grouped aggregate.
@@ -91,7 +94,7 @@ def _need(plan: StagePlan, i: int) -> Column:
     return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "distinct": lambda x: F.size(F.collect_set(x)).cast("double")}[need.kind](c)
 
 
-def close_agg(plan: StagePlan, events: DataFrame, final: str | None) -> DataFrame:
+def close_agg(plan: StagePlan, events: DataFrame, final: str | None, clock: int | None = None) -> DataFrame:
     m, keys = plan.match, _keys(plan)
     session, length = m.window.kind == "session", m.window.seconds
     first = plan.branches[0]
@@ -109,7 +112,7 @@ def close_agg(plan: StagePlan, events: DataFrame, final: str | None) -> DataFram
     else:
         grouped = events.withColumn("created", _bucket(length)).groupBy("created", *keys).agg(*aggs)
         grouped = grouped.withColumn("end", F.col("created") + F.expr(f"INTERVAL {length} SECOND"))
-    grouped = grouped.where(F.col("_e") >= least).withColumn("_wm", watermark(events))
+    grouped = grouped.where(F.col("_e") >= least).withColumn("_wm", watermark(events, clock))
     timeout = F.col("end") <= F.col("_wm")
     if final is None:
         grouped = grouped.where(timeout)
@@ -184,13 +187,13 @@ def offers_of(plan: StagePlan, row: Any, names: dict[str, int]) -> list[Offer]:
     return [Offer(a, ok, numbers, words, needs) for a in plan.aliases if row[names[f"in_{a}"]]]
 
 
-def fold(plan: StagePlan, events: DataFrame, final: str | None, one: bool = False) -> DataFrame:
+def fold(plan: StagePlan, events: DataFrame, final: str | None, one: bool = False, clock: int | None = None) -> DataFrame:
     """Keys are dealt over partitions and read in order; only open windows are held.
 
     ``one`` reads all keys in one partition, as limits that count all keys' windows together must.
     """
     keys = _keys(plan)
-    stamped = events.withColumn("_wm", F.unix_micros(watermark(events))).withColumn("_us", F.unix_micros("ts"))
+    stamped = events.withColumn("_wm", F.unix_micros(watermark(events, clock))).withColumn("_us", F.unix_micros("ts"))
     order = ["_us", "seq", "grp"] if one else [*keys, "_us", "seq", "grp"]
     if keys and not one:
         stamped = stamped.repartition(*keys).sortWithinPartitions(*order)

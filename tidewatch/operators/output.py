@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.compile import Compiler
 from ..functions.values import Value, null, of_type, text
-from ..lang.ast import Call, Num, Ref, Rule
+from ..lang.ast import Call, Expr, Num, Ref, Rule
 from ..plans.plan import LIST_FUNCTIONS, SET_FUNCTIONS, StagePlan, need_of
 from . import bind
 
 ALERT = ("wfx_id", "rule_name", "score", "entity_type", "entity_id", "origin", "fired_at", "summary", "yield_target", "event_time")
+#: Spark types of declared fields, where they are not texts.
+TYPES = {"digit": "bigint", "float": "double", "bool": "boolean", "time": "timestamp"}
 
 
 def label_values(plan: StagePlan, implicit: bool = False) -> dict[str, Value]:
@@ -96,8 +98,8 @@ def _steps_text(plan: StagePlan, each: str) -> list[Column]:
     return out
 
 
-def alerts(rule: Rule, plan: StagePlan, df: DataFrame) -> DataFrame:
-    """The alerts of a rule: ``ALERT``, then the output's fields, each under its own name.
+def alerts(rule: Rule, plan: StagePlan, df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """The alerts of a rule: ``ALERT``, then the output's fields, each under its own name and in its declared type.
 
     Rows without a score or an entity are dropped, as a rule that can't say how bad or who says nothing.
     """
@@ -113,14 +115,19 @@ def alerts(rule: Rule, plan: StagePlan, df: DataFrame) -> DataFrame:
         F.substring(F.sha2(whole, 256), 1, 16).alias("wfx_id"), F.lit(rule.name).alias("rule_name"),
         F.least(F.greatest(F.when(~F.isnan(number), number), F.lit(0.0)), F.lit(100.0)).alias("score"), F.lit(rule.entity_type).alias("entity_type"),
         text(compiler.value(rule.entity_id)).alias("entity_id"), "origin", fired.alias("fired_at"), summary.alias("summary"), F.lit(rule.output.target).alias("yield_target"),
-        F.col("last").alias("event_time"), *[_field(compiler, e, name) for name, e in rule.output.args], *[c for c in ("rank", "end") if c in df.columns],
+        F.col("last").alias("event_time"), *[_field(compiler, e, name, (types or {}).get(name)) for name, e in rule.output.args], *[c for c in ("rank", "end") if c in df.columns],
     )
     return out.where(F.col("score").isNotNull() & F.col("entity_id").isNotNull())
 
 
-def _field(compiler: Compiler, e: object, name: str) -> Column:
-    v = compiler.value(e)  # type: ignore[arg-type]
-    return (v.column.cast("string") if v.kind == "null" else v.column).alias(name)
+def _field(compiler: Compiler, e: Expr, name: str, declared: str | None) -> Column:
+    v = compiler.value(e)
+    column = v.column.cast("string") if v.kind == "null" else v.column
+    if declared in ("chars", "ip", "hex"):
+        column = text(v) if v.kind != "null" else column
+    elif declared in TYPES and not v.is_array:
+        column = column.try_cast(TYPES[declared])
+    return column.alias(name)
 
 
 def stage_rows(plan: StagePlan, df: DataFrame) -> DataFrame:

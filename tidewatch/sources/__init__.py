@@ -1,0 +1 @@
+"""Where events come from and where alerts go."""
