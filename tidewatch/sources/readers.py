@@ -69,9 +69,10 @@ def ndjson(spark: SparkSession, path: str, schemas: Mapping[str, WindowSchema])
 
 
 def bad_lines(spark: SparkSession, path: str) -> int:
+    """How many lines of a file are no JSON."""
     shape = T.StructType([T.StructField("_stream", T.StringType()), T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(shape).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df.where(F.col(CORRUPT).isNotNull()).select("_stream", CORRUPT).count()
+    parsed = F.from_json("value", shape, {"columnNameOfCorruptRecord": CORRUPT})
+    return spark.read.text(path).where(F.trim("value") != "").where(parsed[CORRUPT].isNotNull()).count()
 
 
 def files(spark: SparkSession, path: str, schema: WindowSchema, kind: str = "parquet", stream: bool = False) -> DataFrame:

@@ -58,12 +58,12 @@ class Matcher(StatefulProcessor):
                 if e:
                     found.append(match.emission_row(self.plan, key, e))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         windows, found, key = self.load(), [], tuple(key)
         names = {c: i for i, c in enumerate(self.columns)}
-        events = pd.concat(list(rows))[self.columns].sort_values(["_us", "seq", "grp"])
+        events = pd.concat(list(rows))[self.columns].sort_values(["us", "seq", "grp"])
         for row in zip(*[events[c].astype(object).where(events[c].notna(), None).tolist() for c in self.columns]):
-            ts = row[names["_us"]]
+            ts = row[names["us"]]
             if self.machine.kind != "fixed":  # buckets close by the watermark, as others' events may still come for them
                 self.close_due(key, windows, ts, found)
             at = ts - ts % self.machine.length if self.machine.kind == "fixed" else 0
@@ -77,9 +77,9 @@ class Matcher(StatefulProcessor):
         self.save(windows)
         yield from self.rows(found)
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         windows, found = self.load(), []
-        self.close_due(tuple(key), windows, expired.getExpiryTimeInMs() * 1000, found)
+        self.close_due(tuple(key), windows, expiredTimerInfo.getExpiryTimeInMs() * 1000, found)
         self.save(windows)
         yield from self.rows(found)
 
@@ -95,17 +95,18 @@ def stream_alerts(engine: Engine, rule: Rule, delay: str = "0 seconds") -> DataF
     (plan,) = stage_plans(rule)
     events = bind.bind(plan, engine.tables, engine.schemas, engine.order).withWatermark("ts", delay)
     n = len(plan.key_names)
-    keys = [f"k{i}" for i in range(n)] or ["_all"]
+    keys = [f"k{i}" for i in range(n)] or ["everything"]
     types = dict(events.dtypes)
-    stamped = events.withColumn("_us", F.unix_micros("ts")).withColumn("_all", F.lit(0))
-    columns = [c for c in stamped.columns if c not in ("ts", "_all")]
+    # Names must not begin with an underscore: Spark gives such columns others on the way to Python.
+    stamped = events.withColumn("us", F.unix_micros("ts")).withColumn("everything", F.lit(0))
+    columns = [c for c in stamped.columns if c not in ("ts", "everything")]
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys if k in types], match.BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(match.need_types(plan, events))]])
     out = [c.split(" ")[0] for c in schema.split(", ")]
     if not n:
-        schema, out = f"_all int, {schema}", ["_all", *out]
+        schema, out = f"everything int, {schema}", ["everything", *out]
     processor = Matcher(plan, columns, out, n)
     df = stamped.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
-    df = df.drop("_all")
+    df = df.drop("everything")
     for j in plan.match.joins:
         if j.mode != "snapshot":
             raise ValueError("as-of joins of a stream need its emissions in a table: use write_batches")
