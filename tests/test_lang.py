@@ -66,7 +66,7 @@ def test_bad_schemas(bad):
     ("EV3", {"bind": "e : nowhere"}), ("EV4", {"bind": "e : o"}), ("K1", {"match": "match<z:5m> { on event { e | count >= 1; } }"}), ("R3", {"match": "match<k:5m> { on event { q | count >= 1; } }"}),
     ("T1", {"match": "match<k:5m> { on event { e | distinct | count >= 1; } }"}), ("T2", {"match": "match<k:5m> { on event { e.s | count >= 1; } }"}), ("T3", {"match": "match<k:5m> { on event { e.s | sum >= 1; } }"}),
     ("T6", {"match": 'match<k:5m> { on event { e.f | max >= "x"; } }'}), ("T5", {"match": "match<k:5m> { on event { e.f | max >= k; } }"}), ("T7", {"match": "match<k:5m> { on event { e && count(e) > 1 | count >= 1; } }"}),
-    ("T8", {"bind": 'e : a && close_reason == "eos"'}), ("T16", {"bind": "e : a && s == 1"}), ("T20", {"out": "k = nothing(k)"}), ("T21", {"out": "s = substr(s)"}), ("T22", {"out": "s = substr(k, 1)"}),
+    ("T8", {"bind": 'e : a && close_reason == "eos"'}), ("T16", {"bind": "e : a && s == 1"}), ("T20", {"out": "k = nothing(k)"}), ("T21", {"out": "s = substr(s)"}), ("T22", {"out": "s = substr(k, 1)"}), ("T23", {"out": 's = replace(e.s, "(", "")'}), ("T23", {"out": 's = replace(e.s, "(?=x)", "")'}),
     ("Y1", {"tail": ""}), ("Y4", {"out": "zz = 1"}), ("Y5", {"out": "s = k"}), ("C1", {"tail": "conv { top(1); }"}), ("L1", {"tail": 'limits { on_exceed = "never"; }'}), ("L2", {"tail": 'limits { max_throttle = "many"; }'}), ("S1", {"score": "s"}),
 ])
 def test_checks(code, given):

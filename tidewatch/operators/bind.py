@@ -17,6 +17,7 @@ from ..functions.values import Value, column_type, of_type, text
 from ..lang.ast import Call, Expr, Ref, Str, WindowSchema
 from ..lang.tokens import RuleError
 from ..plans.plan import StagePlan
+from .baseline import baseline
 
 Tables = Mapping[str, DataFrame]
 #: Rows up to which the values of a window that ``has`` looks into are broadcast.
@@ -52,6 +53,26 @@ def with_membership(df: DataFrame, expressions: list[Expr | None], tables: Table
     return df
 
 
+def with_baselines(plan: StagePlan, df: DataFrame, guards: list[Expr | None], ts: Column, seq: Column, keys: tuple[Ref, ...], compiler: Compiler, found: dict[Call, Value]) -> DataFrame:
+    """``df`` with the deviation that each baseline(value, span[, method]) of the guards asks for.
+
+    Rows are compared with those before them of the same keys and, in a fixed window, of the same window.
+    """
+    calls = dict.fromkeys(x for e in guards if e for x in e.walk() if isinstance(x, Call) and x.name == "baseline" and x.owner is None)
+    for k, call in enumerate(calls):
+        method = call.args[2].value if len(call.args) > 2 and isinstance(call.args[2], Str) else "mean"
+        value, at, name = f"_bv{k}", f"_bt{k}", f"_bz{k}"
+        df = df.withColumn(value, compiler.value(call.args[0]).column.cast("double")).withColumn(at, ts).withColumn(f"{at}s", seq)
+        group = [f"`{r.name}`" for r in keys]
+        if plan.match.window.kind == "fixed":
+            length = round(plan.match.window.seconds * 1_000_000)
+            df = df.withColumn(f"{at}b", F.unix_micros(at) - F.unix_micros(at) % length)
+            group.append(f"{at}b")
+        df = baseline(df, value, [g.strip("`") for g in group], [at, f"{at}s"], method, name)
+        found[call] = Value(F.col(name), "num")
+    return df
+
+
 def bind(plan: StagePlan, tables: Tables, schemas: Mapping[str, WindowSchema], order: Mapping[str, str] | None = None) -> DataFrame:
     """The stage's events.
 
@@ -86,6 +107,7 @@ def _group(plan: StagePlan, g: int, window: str, keys: tuple[Ref, ...], aliases:
     time = schemas[window].time if window in schemas else "_ts"
     ts = columns[time].column if time in columns and columns[time].kind == "time" else F.lit(0).cast("timestamp")
     seq = F.col(order) if order else F.col("_seq") if "_seq" in df.columns else F.lit(0)
+    df = with_baselines(plan, df, every[len(aliases) :], ts, seq, keys, compiler, known)
     picked: list[Column] = [ts.alias("ts"), seq.cast("bigint").alias("seq"), F.lit(g).alias("grp")]
     raw = {f.name: f.dataType for f in df.schema.fields}
     for i, ref in enumerate(keys):

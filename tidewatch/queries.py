@@ -13,7 +13,7 @@ from .gen import faults, traffic, verify
 from .operators import joins
 from .operators.baseline import baseline
 from .sources import sinks
-from .streaming.late import split_late
+from .streaming.late import retained, split_late
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,6 +516,15 @@ def baseline_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline(engine(spark, sf_dir).tables["events"], "value", ["user_id"], ["ts", "event_id"], "ewma", "z").select("event_id", F.round("z", 6).alias("z"))
 
 
+rule(
+    "baseline_guard",
+    """events { e : events } match<user_id:1d:fixed> { on event { e | count >= 1; } and close { odd: e && baseline(value, 1d) > 1 | count >= 1; } } -> score(1) entity(user, user_id) yield alerts (n = odd)""",
+    f"{ALERT}; n",
+    f"""WITH {ev()}, z AS (SELECT *, avg(value) OVER x AS m, stddev_pop(value) OVER x AS sd FROM e WINDOW x AS (PARTITION BY user_id, b ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT user_id, b, count(*) FILTER (coalesce(sd, 0) > 0 AND (value - m) / sd > 1) AS n FROM z GROUP BY ALL HAVING n >= 1)
+    SELECT user_id::VARCHAR AS entity_id, 1.0::DOUBLE AS score, {closing()}, n FROM g, w""",
+)
+
 _LATE = """WITH a AS (SELECT *, event_id + CASE WHEN event_id % 7 = 0 THEN 40 ELSE 0 END AS arrival FROM events),
     s AS (SELECT *, max(ts) OVER (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)"""
 
@@ -537,7 +546,7 @@ def late_side_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snapshot_retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY")
 def snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = engine(spark, sf_dir).tables["events"]
-    return df.where(F.col("ts") >= df.agg(F.max("ts")).scalar() - F.expr("INTERVAL 5 DAYS")).select("event_id")
+    return retained(df, "ts", 5 * 86400).select("event_id")
 
 
 @query("number_texts", "SELECT event_id, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END AS t FROM events")

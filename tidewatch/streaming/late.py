@@ -27,3 +27,12 @@ def apply_policy(df: DataFrame, time: str, arrival: list[str], delay: float, pol
     if policy not in POLICIES:
         raise ValueError(f"unknown late policy {policy}")
     return df if policy == "revise" else split_late(df, time, arrival, delay, lateness, keys)[0]
+
+
+def retained(df: DataFrame, time: str, over: float, now: float | None = None) -> DataFrame:
+    """What a window still holds at ``now`` (seconds since 1970; else the latest row's time): rows of the last ``over`` seconds, all if that is 0."""
+    if not over:
+        return df
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    end = df.agg(F.max(at)).scalar() if now is None else F.lit(round(now * 1_000_000))
+    return df.where(at >= end - round(over * 1_000_000))
