@@ -81,7 +81,26 @@ def split_of(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
 
 
+TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+
+
 def own_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Only the named columns, null of the right type where one is missing; extra columns go."""
-    types = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
-    return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(types[n]).alias(n) for n in names])
+    """Only the named columns, null of the right type where one is missing; extra columns go, those too that differ in case only."""
+    if len({c.lower() for c in df.columns}) < len(df.columns):
+        df = df.toDF(*[c if c in names else f"_extra_{i}" for i, c in enumerate(df.columns)])
+    return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(TYPES[n]).alias(n) for n in names])
+
+
+def with_row(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns of ``df``, and the whole row as ``_row``, out of the way of any names used here."""
+    return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(TYPES[n]).alias(n) for n in names], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def rows_again(df: DataFrame, columns: Sequence[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of ``with_row``, with some columns ``new``."""
+    return df.select(*[(new or {}).get(c, F.col("_row")[c]).alias(c) for c in columns])
+
+
+def row_key() -> Column:
+    """A number that tells texts and ids apart."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))

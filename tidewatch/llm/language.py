@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_group
+from .common import cut, join_by_group, own_columns, row_key, rows_again, with_row
 
 PER_LANGUAGE, MOST_LANGUAGES, LONGEST, LEAST_TEXTS = 800, 40, 20_000, 3
 BITS = 15
@@ -158,8 +158,9 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def of_documents(docs: DataFrame) -> DataFrame:
     """Columns that ``identify`` takes, from the documents table: its lang is declared, its source is the host."""
+    own = own_columns(docs, ("doc_id", "text", "lang", "source"))
     code = F.lower(F.regexp_extract(F.col("lang"), "^[A-Za-z]{2,3}", 0))
-    return docs.select("doc_id", "text", F.when(code != "", code).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    return own.select("doc_id", "text", F.when(code != "", code).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -172,6 +173,8 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known, all columns."""
-    gone = identify(of_documents(docs)).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose language is known, all columns; rows alike in id and text share their fate."""
+    keyed = of_documents(docs).withColumn("key", row_key())
+    gone = identify(keyed, "key").where(~F.col("kept")).select(F.col("key").alias("_key")).distinct()
+    rows = with_row(docs, ("doc_id", "text")).select("_row", row_key().alias("_key"))
+    return rows_again(rows.join(gone, "_key", "left_anti"), docs.columns)

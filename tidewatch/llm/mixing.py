@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_group, own_columns, spread
+from .common import cut, join_by_group, own_columns, row_key, rows_again, spread, with_row
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -41,7 +41,7 @@ PARTS = 64
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size of each row, and ``part`` and ``h``, a hash that orders rows of one size."""
     own = own_columns(docs, ("doc_id", "text", "source"))
-    h = F.xxhash64(F.col("doc_id"), F.col("text"))
+    h = row_key()
     return own.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), h.alias("h")).withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)).cast("int"))
 
 
@@ -157,8 +157,8 @@ def mix(docs: DataFrame) -> DataFrame:
     got = copies(docs).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("copies").alias("_k"), F.lit(1).alias("_m"))
     # Rows that share an id and text are numbered, and share out the copies that all of them got.
     got = got.groupBy("_d", "_h").agg(F.sum("_k").alias("_k"), F.sum("_m").alias("_m")).where("_k > 0")
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")))
-    keyed = keyed.withColumn("_j", F.row_number().over(Window.partitionBy("_h").orderBy("doc_id")))
-    out = keyed.join(got, (keyed["_h"] == got["_h"]) & keyed["doc_id"].eqNullSafe(got["_d"]))
+    keyed = with_row(docs, ("doc_id", "text")).select("_row", "doc_id", row_key().alias("_key"))
+    keyed = keyed.withColumn("_j", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
+    out = keyed.join(got, (keyed["_key"] == got["_h"]) & keyed["doc_id"].eqNullSafe(got["_d"]))
     times = F.floor(F.col("_k") * F.col("_j") / F.col("_m")) - F.floor(F.col("_k") * (F.col("_j") - 1) / F.col("_m"))
-    return out.withColumn("_c", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows_again(out.withColumn("_c", F.explode(F.array_repeat(F.lit(1), times.cast("int")))), docs.columns)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import own_columns, rows_again, with_row
 
 THRESHOLD = 0.7
 #: Code points before and after a span in which words are looked for.
@@ -134,8 +134,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Of spans that overlap, the stretch they cover together becomes one mark, of the kind that starts first.
     """
-    names = docs.columns
-    out = spans(docs)
+    out = spans(with_row(docs, ("text", "n_chars")))
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -150,4 +149,5 @@ def redact(docs: DataFrame) -> DataFrame:
     kept = F.zip_with("_m", F.slice(before, 1, F.size("_m")), lambda s, e: F.concat(F.substring(F.col("text"), e + 1, s["start"] - e), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     end = F.element_at("_m", -1)["end"]
     text = F.when(F.size("_m") > 0, F.concat(F.array_join(kept, ""), F.substring(F.col("text"), end + 1, F.length("text")))).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.size("_m") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*names)
+    n = F.when(F.size("_m") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
+    return rows_again(out, docs.columns, {"text": text, "n_chars": n})

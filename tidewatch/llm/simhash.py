@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, own_columns
+from .common import cut, own_columns, row_key, rows_again, with_row
 
 RADIUS = 2
 SEED = 42
@@ -65,15 +65,18 @@ def simhash(text: bytes | None) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (a signed long) for each row."""
+def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
+    """doc_id and fp (a signed long) for each row, and with_key the row's ``key``."""
+    names = ["doc_id", "key", "fp"] if with_key else ["doc_id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([simhash(t.as_py()) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
+            fp = pa.array([simhash(t.as_py()) for t in b.column(0)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], fp], names)
 
-    return own_columns(docs, ("doc_id", "text")).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    own = own_columns(docs, ("doc_id", "text"))
+    kept = [F.col("doc_id"), row_key().alias("key")] if with_key else [F.col("doc_id")]
+    return own.select(F.col("text").cast("binary").alias("text"), *kept).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -109,23 +112,27 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable, for each row of ``docs``."""
-    marked = cut(fingerprints(docs))
+def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable, for each row of ``docs``; with_key also the row's ``key`` and its component's ``root``."""
+    marked = cut(fingerprints(docs, with_key))
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp")))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(first, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(first, "root").select("fp", "component_id", "root")
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", *(["key", "root"] if with_key else []))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group of near duplicates, all columns.
+    """One row of ``docs`` of each group of near duplicates, all columns: that of the smallest id.
 
-    Rows of a null id are kept: nothing tells which of them would be the first.  Of rows that share
-    both the id and the group all stay.
+    A null id comes after all others; of rows that share an id that of the lowest hash of its text; of rows alike
+    in both, one.
     """
-    others = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    rows = near_duplicates(docs, with_key=True)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("first"))
+    first = first.select(F.col("first")["key"].alias("_key"))
+    keyed = with_row(docs, ("doc_id", "text")).select("_row", row_key().alias("_key")).join(first, "_key", "left_semi")
+    alike = Window.partitionBy("_key").orderBy(F.xxhash64(F.to_json("_row")))
+    return rows_again(keyed.withColumn("_n", F.row_number().over(alike)).where("_n = 1"), docs.columns)
