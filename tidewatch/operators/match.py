@@ -188,17 +188,20 @@ def offers_of(plan: StagePlan, row: Any, names: dict[str, int]) -> list[Offer]:
 
 
 def fold(plan: StagePlan, events: DataFrame, final: str | None, one: bool = False, clock: int | None = None) -> DataFrame:
-    """Keys are dealt over partitions and read in order; only open windows are held.
+    """Keys, and with fixed windows each key's windows, are dealt over partitions and read in order; only open windows are held.
 
     ``one`` reads all keys in one partition, as limits that count all keys' windows together must.
     """
     keys = _keys(plan)
     stamped = events.withColumn("_wm", F.unix_micros(watermark(events, clock))).withColumn("_us", F.unix_micros("ts"))
-    order = ["_us", "seq", "grp"] if one else [*keys, "_us", "seq", "grp"]
-    if keys and not one:
-        stamped = stamped.repartition(*keys).sortWithinPartitions(*order)
+    fixed = plan.match.window.kind == "fixed"
+    length = round(plan.match.window.seconds * 1_000_000)
+    stamped = stamped.withColumn("_bucket", F.col("_us") - F.col("_us") % length if fixed else F.lit(0).cast("bigint"))
+    apart = [*keys, "_bucket"] if fixed else keys
+    if apart and not one:
+        stamped = stamped.repartition(*apart).sortWithinPartitions(*apart, "_us", "seq", "grp")
     else:
-        stamped = stamped.repartition(1).sortWithinPartitions(*order)
+        stamped = stamped.repartition(1).sortWithinPartitions("_us", "seq", "grp")
     types = dict(events.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(need_types(plan, events))]])
     columns = [c.split(" ")[0] for c in schema.split(", ")]
@@ -238,17 +241,17 @@ def _finish(machine: Machine, key: tuple, w: Instance | None, wm: int, final: st
 
 def _by_key(plan: StagePlan, rows: Iterator[tuple], names: dict[str, int], n_keys: int, final: str | None) -> Emissions:
     machine = Machine(plan)
-    at = [names[f"k{i}"] for i in range(n_keys)]
+    at = [*[names[f"k{i}"] for i in range(n_keys)], names["_bucket"]]
     key: tuple | None = None
     w, wm = None, 0
     for row in rows:
-        own = tuple(row[i] for i in at)
-        ts, wm_now = row[names["_us"]], row[names["_wm"]]
-        if own != key:
+        place = tuple(row[i] for i in at)
+        own, ts = place[:-1], row[names["_us"]]
+        if place != key:
             if key is not None:
-                yield from _finish(machine, key, w, wm, final)
-            key, w = own, None
-        wm = wm_now
+                yield from _finish(machine, key[:-1], w, wm, final)
+            key, w = place, None
+        wm = row[names["_wm"]]
         if w is not None and machine.expired(w, ts):
             e = machine.close(w, "timeout", machine.end(w))
             if e:
@@ -260,7 +263,7 @@ def _by_key(plan: StagePlan, rows: Iterator[tuple], names: dict[str, int], n_key
             if e:
                 yield own, e
     if key is not None:
-        yield from _finish(machine, key, w, wm, final)
+        yield from _finish(machine, key[:-1], w, wm, final)
 
 
 def _bytes(plan: StagePlan, w: Instance) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running_max
+
 POLICIES = ("drop", "revise", "side_output")
 
 
@@ -12,13 +14,16 @@ def split_late(df: DataFrame, time: str, arrival: list[str], delay: float, laten
     """(rows in time, late rows) of a table with its arrival order.
 
     The watermark before a row is the latest time of the rows that came earlier, less ``delay`` seconds; a row is late
-    if it is before the watermark by more than ``lateness``.  The running maximum is kept for each of ``keys``; without keys
-    it is that of the whole stream, for which arrivals pass one task, as they do a stream's clock.
+    if it is before the watermark by more than ``lateness``.  The latest time is kept for each of ``keys``; without keys
+    it is that of the whole stream, worked out over ranges of the arrival order (whose first column is a whole number).
     """
-    w = Window.partitionBy(*(keys or [])).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.unix_micros(F.col(time).cast("timestamp"))).over(w)
-    late = F.unix_micros(F.col(time).cast("timestamp")) < seen - round((delay + lateness) * 1_000_000)
-    marked = df.withColumn("_late", F.coalesce(late, F.lit(False)))
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+        marked = df.withColumn("_seen", F.max(at).over(w))
+    else:
+        marked = running_max(df, at, arrival, "_seen")
+    marked = marked.withColumn("_late", F.coalesce(at < F.col("_seen") - round((delay + lateness) * 1_000_000), F.lit(False))).drop("_seen")
     return marked.where(~F.col("_late")).drop("_late"), marked.where("_late").drop("_late")
 
 
