@@ -65,7 +65,7 @@ scenario s<seed=7> {
   traffic { stream syslog gen 2/s stream syslog gen wave(base=1/s, amp=1/s, period=2m, shape=sine) }
   injection { hit<10%> syslog { sip seq { use(user="root") with(3, 1m) } } near_miss<5%> syslog { sip seq { use(user="root") with(3, 1m) } } miss<5%> syslog { sip seq { use(user="bob") with(1, 10s) } } }
   faults { duplicate = 0% }
-  expect { hit(r) >= 95% near_miss(r) <= 1% recall(r) >= 90% precision(r) >= 90% }
+  expect { hit(r) >= 95% near_miss(r) <= 1% recall(r) >= 90% precision(r) >= 90% latency_p95(r) <= 2s }
 }"""
 RULE = 'rule r { events { e : auth && user == "root" } match<sip:5m> { on event { e | count >= 3; } } -> score(1) entity(ip, sip) yield out (sip = sip) }'
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.compile import Compiler
 from .functions.values import Value
-from .lang.ast import Call, Rule, WindowSchema
+from .lang.ast import Call, Ref, Rule, WindowSchema
 from .lang.checker import check
 from .lang.preprocess import substitute
 from .lang.rule import parse_expression, parse_rules
@@ -19,6 +19,10 @@ from .operators import bind, conv, joins, match, output
 from .plans.plan import StagePlan, stage_plans
 
 
+def _sql(v: object) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+
 @dataclass
 class Engine:
     """Schemas, the tables that stand for their windows, and for each window the column that orders rows of one time."""
@@ -57,6 +61,8 @@ class Engine:
         tables = dict(self.tables)
         plans = stage_plans(rule)
         df: DataFrame | None = None
+        spoken = [rule.score, rule.entity_id, *[e for _, e in rule.output.args], *[e for chain in rule.conv for op in chain for e in op.args]]
+        wanted = {x.name for e in spoken for x in e.walk() if isinstance(x, Ref)} | {a.name for m in rule.stages for j in m.joins for a, _ in j.on}
         for k, plan in enumerate(plans):
             events = bind.bind(plan, tables, self.schemas, self.order)
             df = match.run(plan, events, final, clock)
@@ -65,7 +71,10 @@ class Engine:
             for j in plan.match.joins:
                 compiler, _ = output.context(plan, df)
                 left = {i: compiler.value(ref).column for i, (ref, _) in enumerate(j.on)}
-                df = joins.apply(df, j, self.tables[j.window], self.schemas.get(j.window), left, self.order.get(j.window))
+                right = self.tables[j.window]
+                used = wanted | {r.name for _, r in j.on} | {self.order.get(j.window), getattr(self.schemas.get(j.window), "time", None)}
+                right = right.select(*[f"`{c}`" for c in right.columns if c in used])
+                df = joins.apply(df, j, right, self.schemas.get(j.window), left, self.order.get(j.window))
             if k < len(plans) - 1:
                 tables[f"_{rule.name}_{k + 1}"] = output.stage_rows(plan, df)
         assert df is not None
@@ -83,6 +92,13 @@ class Engine:
         target = self.schemas.get(rule.output.target)
         return output.alerts(rule, plan, df if rule.conv else df.drop("end"), target.types if target else None)
 
+    def close_key(self, rule: Rule, key: Mapping[str, object], final: str = "flush") -> DataFrame:
+        """The alerts that closing the open windows of one key gives, and only those."""
+        binds = {b.window for b in rule.binds}
+        own = {w: df.where(" AND ".join(f"`{k}` <=> {_sql(v)}" for k, v in key.items())) if w in binds else df for w, df in self.tables.items()}
+        alerts = Engine(self.schemas, own, self.order).alerts(rule, final)
+        return alerts.where(F.col("origin") == f"close:{final}")
+
     def select(self, window: str, expressions: Mapping[str, str], keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
         """Expressions over a window's rows, without any matching."""
         df = self.tables[window]

@@ -38,14 +38,19 @@ def report(result: DataFrame) -> dict[str, int | str]:
 
 
 def quality(alerts: DataFrame, cases: DataFrame) -> dict[str, float | None]:
-    """Shares of the injected entities (entity_id, label: hit, near_miss or miss) that have an alert, precision and recall."""
+    """Shares of the injected entities (entity_id, label: hit, near_miss or miss) that have an alert, precision and recall, and, with the cases' times ``at``, seconds from the last injected event to the alert."""
     found = alerts.select("entity_id").distinct().withColumn("_found", F.lit(1))
     joined = cases.select("entity_id", "label").distinct().join(found, "entity_id", "left")
     rows = {r["label"]: (r["n"], r["k"]) for r in joined.groupBy("label").agg(F.count("*").alias("n"), F.count("_found").alias("k")).collect()}
     share = lambda label: rows[label][1] / rows[label][0] if label in rows and rows[label][0] else None
     true, false = rows.get("hit", (0, 0))[1], sum(k for label, (_, k) in rows.items() if label != "hit")
+    late = None
+    if "at" in cases.columns:
+        ends = cases.where("label = 'hit'").groupBy("entity_id").agg(F.max(F.unix_micros("at")).alias("_end"))
+        first = alerts.groupBy("entity_id").agg(F.min(F.unix_micros(F.try_to_timestamp("fired_at"))).alias("_fired"))
+        late = ends.join(first, "entity_id").agg(F.percentile_approx(F.greatest(F.col("_fired") - F.col("_end"), F.lit(0)) / 1e6, 0.95)).first()[0]
     negatives = sum(n for label, (n, _) in rows.items() if label != "hit")
     return {
         "hit": share("hit"), "near_miss": share("near_miss"), "miss": share("miss"), "recall": share("hit"),
-        "precision": true / (true + false) if true + false else None, "fpr": false / negatives if negatives else None,
+        "precision": true / (true + false) if true + false else None, "fpr": false / negatives if negatives else None, "latency_p95": late,
     }

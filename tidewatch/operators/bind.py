@@ -132,10 +132,15 @@ def _group(plan: StagePlan, g: int, window: str, keys: tuple[Ref, ...], aliases:
         kind = need_type(plan, i, tables)
         col = F.lit(None).cast(column_type(kind)) if value is None else text(value) if kind == "str" and value.kind != "str" else value.column
         picked.append(F.when(accepted[need.alias], col).alias(f"n{i}") if own else F.lit(None).cast(column_type(kind)).alias(f"n{i}"))
-    some = F.lit(False)
+    # Null is as good as false here, and only bare conditions reach the scan.
+    some = None
     for a in aliases:
-        some = some | F.coalesce(accepted[a], F.lit(False))
-    return df.where(some).select(*picked).dropna(subset=[f"k{i}" for i in range(len(keys))]) if keys else df.where(some).select(*picked)
+        one = compiler.condition(plan.filters[a])
+        some = one if some is None else some | one
+    df = df.where(some) if all(plan.filters[a] is not None for a in aliases) else df
+    for ref in keys:
+        df = df.where(F.col(f"`{ref.name}`").isNotNull())
+    return df.select(*picked)
 
 
 def need_type(plan: StagePlan, i: int, tables: Tables) -> str:

@@ -46,8 +46,11 @@ def run(plan: StagePlan, events: DataFrame, final: str | None = "eos", clock: in
     The end is the latest event's time, or ``clock``.
     """
     strategy = plan.strategy
-    if strategy == "close_agg" and all(not b.distinct or b.measure == "count" for b in plan.branches):
+    plain = all(not b.distinct or b.measure == "count" for b in plan.branches)
+    if strategy == "close_agg" and plain:
         return close_agg(plan, events, final, clock)
+    if strategy == "count_or_close" and plain:
+        return modular(plan, events, once=True).unionByName(close_agg(plan, events, final, clock))
     if strategy == "modular":
         return modular(plan, events)
     return fold(plan, events, final, strategy == "global_fold", clock)
@@ -112,7 +115,8 @@ def close_agg(plan: StagePlan, events: DataFrame, final: str | None, clock: int
     else:
         grouped = events.withColumn("created", _bucket(length)).groupBy("created", *keys).agg(*aggs)
         grouped = grouped.withColumn("end", F.col("created") + F.expr(f"INTERVAL {length} SECOND"))
-    grouped = grouped.where(F.col("_e") >= least).withColumn("_wm", watermark(events, clock))
+    met = F.col("_e") >= least
+    grouped = (grouped.where(met) if m.close_mode == "and" else grouped).withColumn("_wm", watermark(events, clock))
     timeout = F.col("end") <= F.col("_wm")
     if final is None:
         grouped = grouped.where(timeout)
@@ -131,7 +135,7 @@ def close_agg(plan: StagePlan, events: DataFrame, final: str | None, clock: int
         good = good & which.isNotNull()
     return grouped.where(good).select(
         *keys, origin.alias("origin"), F.least("end", "_wm").alias("fired"), "last", "created", "end",
-        F.array(F.lit(0)).alias("s_branch"), F.array(F.lit(float(least))).alias("s_value"),
+        F.when(met, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("s_branch"), F.when(met, F.array(F.lit(float(least)))).otherwise(F.array().cast("array<double>")).alias("s_value"),
         F.array(*picked_branch).cast("array<int>").alias("c_branch"), F.array(*picked_value).cast("array<double>").alias("c_value"),
         *[f"n{i}" for i in range(len(plan.needs))],
     )
@@ -140,13 +144,14 @@ def close_agg(plan: StagePlan, events: DataFrame, final: str | None, clock: int
 # Every n-th accepted event of a fixed window.
 
 
-def modular(plan: StagePlan, events: DataFrame) -> DataFrame:
+def modular(plan: StagePlan, events: DataFrame, once: bool = False) -> DataFrame:
+    """``once``: the first match of a window only."""
     b, keys = plan.branches[0], _keys(plan)
     n = crossing(b)
     length = plan.match.window.seconds
     own = events.where(F.col(f"in_{b.source}") & F.col("ok0")).withColumn("created", _bucket(length))
     place = F.row_number().over(Window.partitionBy(*keys, "created").orderBy("ts", "seq", "grp"))
-    hits = own.withColumn("_n", place).where(F.col("_n") % n == 0)
+    hits = own.withColumn("_n", place).where(F.col("_n") == n if once else F.col("_n") % n == 0)
     none = F.array().cast("array<int>")
     return hits.select(
         *keys, F.lit("event").alias("origin"), F.col("ts").alias("fired"), F.col("ts").alias("last"), "created", (F.col("created") + F.expr(f"INTERVAL {length} SECOND")).alias("end"),

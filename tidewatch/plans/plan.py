@@ -3,6 +3,8 @@
 Strategies, the cheapest that is exact is taken:
 
 * ``close_agg``: fixed or session windows with an ``and close`` block and one counting event step: a grouped aggregate;
+* ``count_or_close``: fixed windows with an ``on close`` block and one plain count: row numbers for the event path, a grouped
+  aggregate for the close path;
 * ``modular``: fixed windows without a close block and one plain count with >= or >: row numbers;
 * ``fold``: everything else, an ordered fold over each key's events in constant memory for each open window;
 * ``global_fold``: rules with max_instances or max_memory, whose state spans all keys.
@@ -87,6 +89,8 @@ class StagePlan:
         counts = one is not None and crossing(one) is not None
         if counts and m.window.kind in ("fixed", "session") and m.close_mode == "and":
             return "close_agg"
+        if counts and m.window.kind == "fixed" and m.close_mode == "or" and not one.distinct and not self.needs:  # type: ignore[union-attr]
+            return "count_or_close"
         if counts and m.window.kind == "fixed" and m.close_mode is None and not one.distinct and not self.needs:  # type: ignore[union-attr]
             return "modular"
         return "fold"

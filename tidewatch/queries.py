@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from .operators import joins
 from .operators.baseline import baseline
 from .sources import sinks
 from .streaming.late import retained, split_late
+from .streaming.processor import STATE_STORE, stream_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -405,6 +408,57 @@ def flush_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["flush_close"] = f"""WITH {ev()}, g AS (SELECT DISTINCT user_id, b FROM e) SELECT user_id::VARCHAR AS entity_id, 1.0::DOUBLE AS score, 'close:flush' AS origin, {stamp("wm")} AS fired_at FROM g, w WHERE b + {DAY} > wm"""
 
+
+
+# Streams: read to their end, with what is still open left open.
+
+
+def stream(name: str, text: str, columns: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for key, value in STATE_STORE.items():
+            spark.conf.set(key, value)
+        tables = engine(spark, sf_dir)
+        path = f"{sf_dir}/event[s].parquet"  # a pattern, as a stream's path must be that or a folder
+        source = spark.readStream.schema(tables.tables["events"].schema).parquet(path)
+        source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+        on = Engine.of(SCHEMAS, {**tables.tables, "events": source}, ORDER)
+        folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewatch-')}/stream-{uuid.uuid4().hex}"
+        alerts = stream_alerts(on, on.rules(f"rule {name} {{ {text} }}")[0])
+        started = alerts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        started.awaitTermination()
+        return spark.read.schema(alerts.schema).parquet(f"{folder}/out").selectExpr(*columns.split("; "))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+stream(
+    "stream_anchored",
+    """events { e : events && event_type == "click" } match<user_id:1d> { on event { e | count >= 3; } } -> score(65) entity(user, user_id) yield alerts (user = user_id)""",
+    ALERT,
+    ORACLES["sliding_chain"],
+)
+stream(
+    "stream_fixed_close",
+    """events { e : events && event_type == "error" } match<user_id:1d:fixed> { on event { e | count >= 1; } and close { n: e | count >= 2; } } -> score(70) entity(user, user_id) yield alerts (n = count(e))""",
+    f"{ALERT}; n",
+    f"""WITH {ev("event_type = 'error'")}, g AS (SELECT user_id, b, count(*) AS n FROM e GROUP BY ALL)
+    SELECT user_id::VARCHAR AS entity_id, 70.0::DOUBLE AS score, {closing()}, n FROM g, w WHERE n >= 2 AND b + {DAY} <= wm""",
+)
+stream(
+    "stream_join",
+    f"""{_ERR} join customer snapshot on user_id == customer.c_custkey entity(user, user_id) yield alerts (label = customer.c_name)""",
+    f"{ALERT}; label",
+    f"""SELECT user_id::VARCHAR AS entity_id, 30.0::DOUBLE AS score, 'event' AS origin, {stamp("ts")} AS fired_at, c_name AS label FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_type = 'error'""",
+)
+
+
+@query("close_one_key", f"""WITH {ev()} SELECT user_id::VARCHAR AS entity_id, 1.0::DOUBLE AS score, 'close:flush' AS origin, {stamp("max(ts)")} AS fired_at FROM e WHERE user_id = 3 GROUP BY user_id, b HAVING b + {DAY} > (SELECT max(ts) FROM e WHERE user_id = 3)""")
+def close_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on = engine(spark, sf_dir)
+    rule_ = on.rules("rule c { events { e : events } match<user_id:1d:fixed> { on event { e | count >= 1; } and close { e | count >= 1; } } -> score(1) entity(user, user_id) yield alerts (user = user_id) }")[0]
+    return on.close_key(rule_, {"user_id": 3}).selectExpr(*ALERT.split("; "))
+
+
 # Expressions.
 
 
