@@ -56,6 +56,18 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spare: str) -> D
     return r.join(g, r[key].eqNullSafe(g["_gk"]) & (r["_rs"] == g["_gs"]), "left").drop("_gk", "_gs", "_rs")
 
 
+def lowest(df: DataFrame, count: int, most: int, *by: str) -> DataFrame:
+    """Of ``df``, which has ``count`` rows, about one and a half times ``most`` (all if that is more), those that hash lowest by the columns.
+
+    A plain filter by the rate: no task keeps rows of its own to choose from, so what is collected of it is bounded by ``most``
+    at any number of tasks.  Cut to ``most`` in order of ``_low``.
+    """
+    space = 1 << 52
+    rate = min(1.0, (1.5 * most + 50) / max(count, 1))
+    low = F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(space))
+    return df.withColumn("_low", low).where(F.col("_low") < F.lit(int(rate * space)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, longest: int) -> list[tuple[str, int]]:
     """At most ``per_class`` (text, label) pairs of each of the labels 0 and 1, those whose id hashes lowest.
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_group, own_columns, row_key, rows_again, with_row
+from .common import cut, join_by_group, lowest, own_columns, row_key, rows_again, with_row
 
 PER_LANGUAGE, MOST_LANGUAGES, LONGEST, LEAST_TEXTS = 800, 40, 20_000, 3
 BITS = 15
@@ -85,15 +84,16 @@ class TextModel:
         return n, total
 
 
-def fit_text(docs: DataFrame) -> TextModel:
-    """Trigram models from a bounded sample of ``docs`` (text, declared)."""
+def fit_text(docs: DataFrame, *by: str) -> TextModel:
+    """Trigram models from a bounded sample of ``docs`` (text, declared), chosen by the hash of the columns ``by``."""
     some = docs.where(F.col("declared").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
     common = some.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["declared"] for r in common)
-    sample: dict[str, list[str]] = defaultdict(list)
-    for name in languages:  # at most MOST_LANGUAGES of them, each by the lowest hashes of its texts
-        own = some.where(F.col("declared") == name).select("text").orderBy(F.xxhash64("text"), "text").limit(PER_LANGUAGE)
-        sample[name] = [r["text"] for r in own.collect()]
+    sample: dict[str, list[str]] = {}
+    for r in common:  # at most MOST_LANGUAGES of them
+        own = lowest(some.where(F.col("declared") == r["declared"]), r["n"], PER_LANGUAGE, *by)
+        rows = sorted((x["_low"], x["text"]) for x in own.select("_low", "text").collect())
+        sample[r["declared"]] = [text for _, text in rows[:PER_LANGUAGE]]
     table = np.full((1 << BITS, len(languages) + 1), -np.log(1 << BITS))
     for k, name in enumerate(languages):
         count = np.zeros(1 << BITS)
@@ -126,7 +126,7 @@ def _shares(sums: list[Column], coarser: list[Column], total: Column) -> list[Co
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, lang_pred, confidence, kept and n for each row of ``docs`` (key, text, declared, suffix, host)."""
     docs = docs.select(F.col(key).cast("bigint").alias(key), "text", *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host")])
-    model = fit_text(docs)
+    model = fit_text(docs, key, "text")
     names = [*model.languages, UND]
     rng = range(len(names))
     rows = cut(posteriors(docs, key, model))
