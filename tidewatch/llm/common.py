@@ -77,13 +77,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """
     ids = labels.select("doc_id", F.col(label).alias("_y")).where(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull())
     ids = ids.where(split_of(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.max("_y").alias("_y"))
-    lowest = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    chosen = None
+    counts = {r["_y"]: r["n"] for r in ids.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    chosen: list[tuple[int, int]] = []
     for y in (0, 1):
-        part = ids.where(F.col("_y") == y).orderBy(lowest, "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = F.broadcast(cut(chosen))  # at most 2 * per_class rows of two numbers
-    got = docs.where((F.length("text") <= longest)).select("doc_id", "text").join(chosen, "doc_id")
+        some = lowest(ids.where(F.col("_y") == y), counts.get(y, 0), per_class, "doc_id").select("_low", "doc_id").collect()
+        chosen += [(r["doc_id"], y) for r in sorted(some)[:per_class]]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, _y int")  # at most 2 * per_class rows of two numbers
+    got = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
     rows = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).collect()
     return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
