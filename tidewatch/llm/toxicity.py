@@ -37,6 +37,8 @@ EPOCHS, BATCH, RATE, DECAY = 5, 64, 0.02, 1e-3
 LEAST = 3
 #: Longer sentences are cut into pieces of so many words; smaller weights are dropped.
 PIECE, PRUNED = 25, 0.2
+#: Standard errors by which the log odds of a feature are lowered to begin with.
+SURE = 1.5
 REMEMBERED = 400_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,7 +118,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
     count = found.sum(0)
     # To begin with, what each feature surely tells: the lower bound of its log odds.
     odds = [np.log((found[y] + 0.5) / ((labels == y).sum() + 1)) for y in (0, 1)]
-    weights = np.maximum(0, odds[1] - odds[0] - 2 * np.sqrt(1 / (found[1] + 0.5) + 1 / (found[0] + 0.5))) * (count >= LEAST)
+    weights = np.maximum(0, odds[1] - odds[0] - SURE * np.sqrt(1 / (found[1] + 0.5) + 1 / (found[0] + 0.5))) * (count >= LEAST)
     feat = np.concatenate(feats)
     sents = np.repeat(np.arange(n_sent, dtype=np.int32), lengths)
     use = count[feat] >= LEAST
