@@ -96,7 +96,7 @@ def test_layout():
 
 
 def test_parts_of_a_rule():
-    f = parse_rules("""use "x.wfs" rule r { meta { contract_version = "2" } events { e : a } match<k:session(5m)> { key { k = e.k; } on event { x: e.f && f > 1 | distinct | sum > 1 + 2 || e | count >= 1; } on close { e | count == 0; } } -> score(1)
+    f = parse_rules("""use "x.schema" rule r { meta { contract_version = "2" } events { e : a } match<k:session(5m)> { key { k = e.k; } on event { x: e.f && f > 1 | distinct | sum > 1 + 2 || e | count >= 1; } on close { e | count == 0; } } -> score(1)
       join o asof within 5m on k == o.k && s == o.s entity("Host", k) yield o@v3 (k = k) limits { max_instances = 5; max_throttle = "10/min"; } }
       test t for r { input { row(e, k = 1); tick(5m); } expect { hits >= 1; hit[0].score == 1; } options { close_trigger = flush; } }""")
     r = f.rules[0]

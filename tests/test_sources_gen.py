@@ -59,7 +59,7 @@ def test_rates(spark, rate, total):
     assert df.select("seq").distinct().count() == df.count() and df.agg(F.max(F.unix_seconds("ts"))).first()[0] < 1060
 
 
-WFG = """use "x"
+SCENARIO = """use "x"
 #[duration=10m]
 scenario s<seed=7> {
   traffic { stream syslog gen 2/s stream syslog gen wave(base=1/s, amp=1/s, period=2m, shape=sine) }
@@ -71,7 +71,7 @@ RULE = 'rule r { events { e : auth && user == "root" } match<sip:5m> { on event
 
 
 def test_scenario(spark):
-    s = scenario.parse_scenario(WFG)
+    s = scenario.parse_scenario(SCENARIO)
     rules = {r.name: r for r in parse_rules(RULE).rules}
     assert scenario.problems(s, S, rules) == [] and s.seed == 7 and s.duration == 600 and len(s.cases) == 3
     made = scenario.events(spark, s, S, rules)["auth"].cache()
@@ -89,7 +89,7 @@ def test_scenario(spark):
     (("gen 2/s", "gen burst(base=1/s, peak=2/s, every=1s, hold=5s)"), "SV3"),
 ])
 def test_bad_scenarios(change, code):
-    s = scenario.parse_scenario(WFG.replace(*change))
+    s = scenario.parse_scenario(SCENARIO.replace(*change))
     assert any(p.startswith(code) for p in scenario.problems(s, S, {r.name: r for r in parse_rules(RULE).rules}))
 
 

@@ -73,10 +73,10 @@ def test_bad_config(old, new):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "s.wfs").write_text(SCHEMA)
+    (tmp_path / "s.schema").write_text(SCHEMA)
     (tmp_path / "r.rule").write_text(RULE)
     (tmp_path / "x.json").write_text("\n".join(json.dumps({"_stream": "s", "k": k, "n": n, "at": 1767225600000000000 + i * 10**9}) for i, (k, n) in enumerate([("x", 2), ("x", 3), ("y", 5), ("x", 1)])))
-    rules, schemas = str(tmp_path / "r.rule"), ["--schemas", str(tmp_path / "*.wfs")]
+    rules, schemas = str(tmp_path / "r.rule"), ["--schemas", str(tmp_path / "*.schema")]
     assert cli.main(["check", rules, *schemas]) == 0 and cli.main(["explain", rules, *schemas]) == 0 and cli.main(["lint", rules, *schemas]) == 0 and cli.main(["format", rules]) == 0
     assert "rule r" in capsys.readouterr().out
     assert cli.main(["test", rules, *schemas]) == 1

@@ -105,7 +105,8 @@ def _group(plan: StagePlan, g: int, window: str, keys: tuple[Ref, ...], aliases:
     every = [plan.filters[a] for a in aliases] + [b.guard for b in plan.branches if b.source in aliases]
     df = with_membership(df, every, tables, compiler, known)
     time = schemas[window].time if window in schemas else "_ts"
-    ts = columns[time].column if time in columns and columns[time].kind == "time" else F.lit(0).cast("timestamp")
+    never = F.lit(0).cast("timestamp")  # rows without a time are at the beginning of all
+    ts = F.coalesce(columns[time].column, never) if time in columns and columns[time].kind == "time" else never
     seq = F.col(order) if order else F.col("_seq") if "_seq" in df.columns else F.lit(0)
     df = with_baselines(plan, df, every[len(aliases) :], ts, seq, keys, compiler, known)
     picked: list[Column] = [ts.alias("ts"), seq.cast("bigint").alias("seq"), F.lit(g).alias("grp")]

@@ -113,7 +113,7 @@ def alerts(rule: Rule, plan: StagePlan, df: DataFrame, types: dict[str, str] | N
     whole = F.concat_ws("\u0000", F.lit(rule.name), F.concat_ws("\u001f", *[text(v) for v in keys.values()]) if keys else F.lit(""), fired, F.concat_ws("\u001f", *_steps_text(plan, "%a")), F.col("origin"))
     out = df.select(
         F.substring(F.sha2(whole, 256), 1, 16).alias("wfx_id"), F.lit(rule.name).alias("rule_name"),
-        F.least(F.greatest(F.when(~F.isnan(number), number), F.lit(0.0)), F.lit(100.0)).alias("score"), F.lit(rule.entity_type).alias("entity_type"),
+        F.when(~F.isnan(number) & number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(100.0))).alias("score"), F.lit(rule.entity_type).alias("entity_type"),
         text(compiler.value(rule.entity_id)).alias("entity_id"), "origin", fired.alias("fired_at"), summary.alias("summary"), F.lit(rule.output.target).alias("yield_target"),
         F.col("last").alias("event_time"), *[_field(compiler, e, name, (types or {}).get(name)) for name, e in rule.output.args], *[c for c in ("rank", "end") if c in df.columns],
     )
