@@ -22,12 +22,12 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import reached, splits
 from .common import own_columns, spread
 
 WIDE = 8
@@ -116,28 +116,12 @@ def text_of(v: Column) -> Column:
     return F.lower(F.array_join(F.concat(wide, F.transform(F.slice(v, WIDE + 1, HASHES * len(SHIFTS) + 1), lambda x: F.lpad(F.hex(x), 14, "0"))), ""))
 
 
-def id_splits(df: DataFrame, n: int) -> list[int]:
-    """At most ``n`` ids that split the rows into parts of about equal counts; the first is the smallest id."""
-    least, points = df.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / n for i in range(n)], 10 * n)).first()
-    return [] if least is None else sorted({least, *points})
-
-
-def reached(x: Column, cuts: list[int]) -> tuple[Column, Column]:
-    """How many of the ascending ``cuts`` are at most ``x``, and the last of these; looked up in two steps."""
-    width = max(1, math.isqrt(len(cuts)))
-    rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    table = F.array(*[F.lit(r).cast("array<bigint>") for r in rows])
-    row = F.size(F.filter(F.lit([r[0] for r in rows]).cast("array<bigint>"), lambda c: c <= x))
-    inside = F.filter(F.try_element_at(table, F.greatest(row, F.lit(1))), lambda c: c <= x)
-    return (row - 1) * width + F.size(inside), F.array_max(inside)
-
-
 def with_next(df: DataFrame, what: list[str], ghosts: bool = False) -> DataFrame:
     """``df`` (doc_id, text and others) and, as next_<column>, the given columns of the next row by ascending doc_id, the first row's after the last.
 
     With ``ghosts``, also the bucket _b, the place _i in it, and the rows that are there for the row before only (_g = 1).
     """
-    cuts = id_splits(df, spread(df) * BUCKETS) or [0]
+    cuts = splits(df, F.col("doc_id"), spread(df) * BUCKETS) or [0]
     n = len(cuts)
     bucket, opening = reached(F.col("doc_id"), cuts)
     bucket = F.when(F.col("doc_id").isNull(), n).otherwise(bucket)
