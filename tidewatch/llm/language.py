@@ -35,6 +35,7 @@ from .common import cut, join_by_group, lowest, own_columns, row_key, rows_again
 PER_LANGUAGE, MOST_LANGUAGES, LONGEST, LEAST_TEXTS = 800, 40, 20_000, 3
 BITS = 15
 TEMPER = 0.25
+UNSEEN = 0.05
 SURE = 0.6
 #: How many documents' worth the coarser level counts in the finer one.
 KAPPA = 20.0
@@ -100,7 +101,8 @@ def fit_text(docs: DataFrame, *by: str) -> TextModel:
         for text in sample[name]:
             for w in WORD.findall(text.lower()):
                 np.add.at(count, trigrams(w), 1) if len(w) > 30 else [count.__setitem__(t, count[t] + 1) for t in trigrams(w)]
-        table[:, k] = np.log((count + 0.05) / (count.sum() + 0.05 * (1 << BITS)))
+        # A share of the uniform model in each, so that a few unseen trigrams (of a code or a name) do not make a text no language.
+        table[:, k] = np.log((1 - UNSEEN) * count / max(count.sum(), 1) + UNSEEN / (1 << BITS))
     return TextModel(languages, table.astype(np.float32))
 
 
