@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from ..functions.compile import constant, truth
@@ -87,6 +87,16 @@ class Instance:
         self.needs, self.emitted, self.ok = [None] * needs, False, False
 
 
+    def plain(self) -> dict[str, Any]:
+        """The window as built-in types."""
+        return asdict(self)
+
+    @staticmethod
+    def of_plain(d: dict[str, Any]) -> Instance:
+        tallies = {k: {i: Tally(**t) for i, t in d[k].items()} for k in ("tallies", "close")}
+        return Instance(**{**d, **tallies})
+
+
 @dataclass
 class Emission:
     origin: str

@@ -364,10 +364,10 @@ rule(
 )
 rule(
     "score_if_clamped",
-    """events { e : events && event_type == "purchase" } match<user_id:1d:fixed> { on event { e | count >= 1; } and close { total: e.value | sum > 0; } } -> score(if total > 120 then 500 else if total > 50 then total - 60 else 7) entity(user, user_id) yield alerts (n = count(e))""",
+    """events { e : events && event_type == "purchase" } match<user_id:1d:fixed> { on event { e | count >= 1; } and close { total: e.value | sum > 0; } } -> score(if total > 120 then 500 else if total > 50 then round(total - 60, 2) else 7) entity(user, user_id) yield alerts (n = count(e))""",
     f"{ALERT}; n",
     f"""WITH {ev("event_type = 'purchase'")}, g AS (SELECT user_id, b, sum(value) AS s, count(*) AS n FROM e GROUP BY ALL HAVING sum(value) > 0)
-    SELECT user_id::VARCHAR AS entity_id, CASE WHEN s > 120 THEN 100.0 WHEN s > 50 THEN greatest(s - 60, 0.0) ELSE 7.0 END AS score, {closing()}, n FROM g, w""",
+    SELECT user_id::VARCHAR AS entity_id, CASE WHEN s > 120 THEN 100.0 WHEN s > 50 THEN greatest(sign(s - 60) * floor(abs(s - 60) * 100 + 0.5) / 100, 0.0) ELSE 7.0 END AS score, {closing()}, n FROM g, w""",
 )
 rule(
     "guard_conditions",

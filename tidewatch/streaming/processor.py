@@ -35,11 +35,12 @@ class Matcher(StatefulProcessor):
         self.state = handle.getValueState("windows", "data binary")
 
     def load(self) -> dict[int, Instance]:
-        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {}
+        held = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {}
+        return {at: Instance.of_plain(w) for at, w in held.items()}
 
     def save(self, windows: dict[int, Instance]) -> None:
         if windows:
-            self.state.update((pickle.dumps(windows),))
+            self.state.update((pickle.dumps({at: w.plain() for at, w in windows.items()}),))
         elif self.state.exists():
             self.state.clear()
         for t in [t for t in self.handle.listTimers()]:
