@@ -42,7 +42,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from .common import own_columns
 
 #: Words remembered by a Python worker, twice.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 SPACE = "".join(map(chr, [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
 #: Characters at which str.split splits though the vocabulary's expressions do not count them as space.
