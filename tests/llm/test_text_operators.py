@@ -426,9 +426,10 @@ def test_language_evidence(documents, docs):
     """Text overrules a wrong declaration; where the text says nothing, host and declaration do."""
     rows = [(r.doc_id, r.text, r.lang, f"host-{r.lang}") for r in docs.collect()]
     german = next(t for _, t, lang, _ in rows if lang == "de" and len(t) > 500)
-    extra = [(10_001, german, "en", "host-en"), (10_002, "zzz", "de", "host-de"), (10_003, "la", None, "host-fr"), (10_006, "la", None, "host-es"), (10_004, "123 !!", "en", "host-en"), (10_005, None, "en", "host-en")]
+    extra = [(10_001, german, "en", "host-en"), (10_002, "zzz", "de", "host-de"), (10_003, "la", None, "host-fr"), (10_006, "la", None, "host-es"), (10_004, "123 !!", "en", "host-en"), (10_005, None, "en", "host-en"), (10_007, "Der Zug und die Stadt. " + german[:200] + " the and of to in that is was for it with as his on be at by", "en", "host-en"), (10_008, "qxzj vvkw jqqx " * 30, None, "host-en")]
     got = {x.doc_id: x for x in language.identify(language.of_documents(documents(rows + extra))).collect()}
     assert got[10_001].lang_pred == "de" and got[10_002].lang_pred == "de" and got[10_003].lang_pred == "fr" and got[10_006].lang_pred == "es"
+    assert got[10_007].kept and not got[10_008].kept and got[10_008].lang_pred == "und"
     assert not got[10_004].kept and got[10_004].lang_pred == "und" and not got[10_005].kept
 
 

@@ -12,8 +12,8 @@ Four kinds of evidence are combined for each document:
 log posterior = TEMPER * text + log P(l | host) + log P(l | declared) - log P(l).
 
 The trigram models are fitted on the driver to at most ``PER_LANGUAGE`` texts of each declared language (at most ``MOST_LANGUAGES``,
-the most frequent), of at most ``LONGEST`` characters each; everything else uses all rows.  A document is kept if its posterior reaches
-``SURE`` and the language is not the uniform model's (``und``).
+the most frequent), of at most ``LONGEST`` characters each; everything else uses all rows.  A document is kept if the languages together
+reach ``SURE`` and the best is not the uniform model (``und``): one that mixes two languages is kept, whichever wins.
 
 Edge cases: a null, empty or letterless text is ``und`` and not kept; a null declared language, suffix or host is a group of its own;
 repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
@@ -153,8 +153,9 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     out = out.withColumn("_log", log).withColumn("_max", F.array_max("_log"))
     best = F.element_at(F.lit(names), F.array_position("_log", F.col("_max")).cast("int"))
     out = out.withColumn("confidence", 1 / F.aggregate(F.transform("_log", lambda x: F.exp(x - F.col("_max"))), F.lit(0.0), lambda a, x: a + x))
+    known = 1 - F.col("confidence") * F.exp(F.element_at("_log", -1) - F.col("_max"))
     out = out.withColumn("lang_pred", F.when(F.col("n") > 0, best).otherwise(F.lit(UND)))
-    kept = (F.col("n") > 0) & (F.col("lang_pred") != UND) & (F.col("confidence") >= SURE)
+    kept = (F.col("n") > 0) & (F.col("lang_pred") != UND) & (known >= SURE)
     return out.select(key, "lang_pred", "confidence", kept.alias("kept"), F.col("n").alias("n_words"))
 
 
