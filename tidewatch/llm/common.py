@@ -56,16 +56,21 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spare: str) -> D
     return r.join(g, r[key].eqNullSafe(g["_gk"]) & (r["_rs"] == g["_gs"]), "left").drop("_gk", "_gs", "_rs")
 
 
-def lowest(df: DataFrame, count: int, most: int, *by: str) -> DataFrame:
-    """Of ``df``, which has ``count`` rows, about one and a half times ``most`` (all if that is more), those that hash lowest by the columns.
+_SPACE = 1 << 52
 
-    A plain filter by the rate: no task keeps rows of its own to choose from, so what is collected of it is bounded by ``most``
-    at any number of tasks.  Cut to ``most`` in order of ``_low``.
+
+def rate_limit(count: int, most: int) -> int:
+    """The hash below which about one and a half times ``most`` of ``count`` rows fall, all if that is more."""
+    return int(min(1.0, (1.5 * most + 50) / max(count, 1)) * _SPACE)
+
+
+def lowest(df: DataFrame, limit: int | Column, *by: str) -> DataFrame:
+    """The rows of ``df`` whose hash by the columns, ``_low``, is below ``limit``.
+
+    A plain filter: no task keeps rows of its own to choose from, so what is collected of it does not grow with the number of
+    tasks.  It is cut to size in order of ``_low`` afterwards.
     """
-    space = 1 << 52
-    rate = min(1.0, (1.5 * most + 50) / max(count, 1))
-    low = F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(space))
-    return df.withColumn("_low", low).where(F.col("_low") < F.lit(int(rate * space)))
+    return df.withColumn("_low", F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(_SPACE))).where(F.col("_low") < limit)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, longest: int) -> list[tuple[str, int]]:
@@ -80,7 +85,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     counts = {r["_y"]: r["n"] for r in ids.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     chosen: list[tuple[int, int]] = []
     for y in (0, 1):
-        some = lowest(ids.where(F.col("_y") == y), counts.get(y, 0), per_class, "doc_id").select("_low", "doc_id").collect()
+        some = lowest(ids.where(F.col("_y") == y), rate_limit(counts.get(y, 0), per_class), "doc_id").select("_low", "doc_id").collect()
         chosen += [(r["doc_id"], y) for r in sorted(some)[:per_class]]
     if not chosen:
         return []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_group, lowest, own_columns, row_key, rows_again, with_row
+from .common import cut, join_by_group, lowest, own_columns, rate_limit, row_key, rows_again, with_row
 
 PER_LANGUAGE, MOST_LANGUAGES, LONGEST, LEAST_TEXTS = 800, 40, 20_000, 3
 BITS = 15
@@ -87,18 +87,21 @@ class TextModel:
 
 def fit_text(docs: DataFrame, *by: str) -> TextModel:
     """Trigram models from a bounded sample of ``docs`` (text, declared), chosen by the hash of the columns ``by``."""
-    some = docs.where(F.col("declared").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    common = some.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in common)
-    sample: dict[str, list[str]] = {}
-    for r in common:  # at most MOST_LANGUAGES of them
-        own = lowest(some.where(F.col("declared") == r["declared"]), r["n"], PER_LANGUAGE, *by)
-        rows = sorted((x["_low"], x["text"]) for x in own.select("_low", "text").collect())
-        sample[r["declared"]] = [text for _, text in rows[:PER_LANGUAGE]]
+    counts = docs.where(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    common = {r["declared"]: r["n"] for r in counts.orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()}
+    languages = sorted(common)
+    sample: dict[str, list[tuple[int, str]]] = {name: [] for name in languages}
+    if languages:  # one pass for all of them
+        limit = F.lit(0).cast("bigint")
+        for name, n in common.items():
+            limit = F.when(F.col("declared") == name, rate_limit(n, PER_LANGUAGE)).otherwise(limit)
+        some = docs.where(F.col("declared").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
+        for r in lowest(some, limit, *by).select("declared", "_low", "text").collect():
+            sample[r["declared"]].append((r["_low"], r["text"]))
     table = np.full((1 << BITS, len(languages) + 1), -np.log(1 << BITS))
     for k, name in enumerate(languages):
         count = np.zeros(1 << BITS)
-        for text in sample[name]:
+        for _, text in sorted(sample[name])[:PER_LANGUAGE]:
             for w in WORD.findall(text.lower()):
                 np.add.at(count, trigrams(w), 1) if len(w) > 30 else [count.__setitem__(t, count[t] + 1) for t in trigrams(w)]
         # A share of the uniform model in each, so that a few unseen trigrams (of a code or a name) do not make a text no language.

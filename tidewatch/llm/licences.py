@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, own_columns
+from .common import lowest, own_columns, rate_limit
 
 PLAIN, PLAIN_TEXTS, LONGEST = 6000, 1500, 10_000
 FALSE_SHARE = 1e-3
@@ -193,7 +193,7 @@ def train(plain: list[str]) -> Model:
 def fit(docs: DataFrame) -> Model:
     """Fits the model with lines of a bounded sample of ``docs``, those whose texts hash lowest, without words that speak of licences."""
     own = own_columns(docs, ("doc_id", "text")).where(F.length("text").between(1, LONGEST))
-    some = lowest(own, own.count(), PLAIN_TEXTS, "doc_id", "text").select("_low", "text").collect()
+    some = lowest(own, rate_limit(docs.count(), PLAIN_TEXTS), "doc_id", "text").select("_low", "text").collect()
     texts = [text for _, text in sorted((r["_low"], r["text"]) for r in some)[:PLAIN_TEXTS]]
     told = re.compile(r"licen|copyright|creative commons|spdx|\bgnu\b|redistribut|hereby granted|public domain", re.I)
     plain = [line for text in texts for line in text.split("\n") if not told.search(line)]
