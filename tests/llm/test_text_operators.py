@@ -433,6 +433,33 @@ def test_language_evidence(documents, docs):
     assert not got[10_004].kept and got[10_004].lang_pred == "und" and not got[10_005].kept
 
 
+def test_language_of_many_codes(documents):
+    """Each of 45 languages, in a script of its own, is told where texts suffice for a model, long ones too, and kept where not."""
+    r = random.Random(2)
+    starts = [0x4E00 + 400 * k for k in range(45)]
+    name = lambda k: "q" + chr(97 + k // 26) + chr(97 + k % 26)
+    own = [["".join(chr(start + r.randrange(30)) for _ in range(5)) for _ in range(25)] for start in starts]
+    said = lambda k, n: " ".join(r.choices(own[k], k=n))
+    rows = [(k * 100 + i, said(k, 40), name(k), "s") for k in range(43) for i in range(4 + (k < 40))]
+    rows += [(4300 + i, said(43, 5000), name(43), "s") for i in range(4)]  # all longer than LONGEST
+    rows += [(4400, said(44, 40), name(44), "s"), (4401, said(44, 40), name(44), "s")]  # too few to fit
+    rows += [(4500, said(7, 40), "qzy", "s"), (4501, "12 !", "qzz", "s"), (4502, "qxzj vvkw " * 40, None, "s"), (4503, "qxzj vvkw " * 40, "und", "s")]
+    got = {x.doc_id: x for x in language.identify(language.of_documents(documents(rows))).collect()}
+    for i, _, declared, _ in rows[:-4]:
+        assert got[i].kept and got[i].lang_pred == declared, (i, got[i])
+    assert got[4500].kept and got[4500].lang_pred == name(7)
+    assert not any(got[i].kept for i in (4501, 4502, 4503)) and {got[i].lang_pred for i in (4501, 4502, 4503)} == {"und"}
+    kept = {x.doc_id for x in language.keep(documents(rows)).select("doc_id").collect()}
+    assert kept == {x[0] for x in rows} - {4501, 4502, 4503}
+
+
+def test_language_of_mostly_empty_texts(documents):
+    """A language most of whose many rows have no letter is still fitted to the few that do."""
+    rows = [(i, None if i % 2 else "1 2", "qa") for i in range(30_000)] + [(40_000 + i, prose(i, 60), "qa") for i in range(5)] + [(50_000 + i, "αβγ δεζ ηθι " * 9, "el") for i in range(5)]
+    got = language.identify(language.of_documents(documents(rows))).where("n_words > 0").collect()
+    assert len(got) == 10 and all(x.kept and x.lang_pred == ("qa" if x.doc_id < 50_000 else "el") for x in got)
+
+
 def test_language_of_pages(spark):
     df = spark.createDataFrame([(1, "https://u@Blog.Example.DE:80/x", "<!DOCTYPE html><HTML a=b lang='de-AT'><script>var t='</p>';</script><p>Guten <b>Tag</b></p>"), (2, None, None)], "page_id bigint, url string, html string")
     a, b = language.of_pages(df).orderBy("page_id").collect()

@@ -11,9 +11,11 @@ Four kinds of evidence are combined for each document:
 
 log posterior = TEMPER * text + log P(l | host) + log P(l | declared) - log P(l).
 
-The trigram models are fitted on the driver to at most ``PER_LANGUAGE`` texts of each declared language (at most ``MOST_LANGUAGES``,
-the most frequent), of at most ``LONGEST`` characters each; everything else uses all rows.  A document is kept if the languages together
-reach ``SURE`` and the best is not the uniform model (``und``): one that mixes two languages is kept, whichever wins.
+Each declared language of ``LEAST_TEXTS`` texts or more has a trigram model, fitted to at most ``PER_LANGUAGE`` of its texts, a piece of
+``LONGEST`` characters of those that are longer; the trigrams are counted by a grouped sum.  Everything else uses all rows.  A document is
+kept if the languages together reach ``SURE`` and the best is not the uniform model (``und``): one that mixes two languages is kept,
+whichever wins.  For a document that declares a language without a model (too few texts to fit one, or none with a letter) the uniform
+model stands for that language: where it wins, the declaration is what is left to go by.
 
 Edge cases: a null, empty or letterless text is ``und`` and not kept; a null declared language, suffix or host is a group of its own;
 repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_by_group, lowest, own_columns, rate_limit, row_key, rows_again, with_row
 
-PER_LANGUAGE, MOST_LANGUAGES, LONGEST, LEAST_TEXTS = 800, 40, 20_000, 3
+PER_LANGUAGE, LONGEST, LEAST_TEXTS = 800, 20_000, 3
 BITS = 15
 TEMPER = 0.25
 UNSEEN = 0.05
@@ -41,6 +43,8 @@ SURE = 0.6
 KAPPA = 20.0
 UND = "und"
 REMEMBERED = 200_000
+#: Numbers that remembered words may take together, and those of a block of words.
+ROOM, BLOCK_ROOM = 16_000_000, 4_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -56,9 +60,11 @@ class TextModel:
         self.languages, self.table = languages, table
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, table.shape[1]), np.float32)
+        self.most = min(REMEMBERED, max(1, ROOM // table.shape[1]))
+        self.block = min(50_000, max(1, BLOCK_ROOM // table.shape[1]))
 
     def row(self, word: str) -> int:
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) >= self.most:
             self.known.clear()
         k = self.known[word] = len(self.known)
         if k >= len(self.rows):
@@ -71,10 +77,10 @@ class TextModel:
         total = np.zeros(self.table.shape[1])
         n = 0
         words = WORD.findall(text.lower())
-        for start in range(0, len(words), 50_000):
-            block = words[start : start + 50_000]
+        for start in range(0, len(words), self.block):
+            block = words[start : start + self.block]
             fresh = [w for w in set(block) if w not in self.known]
-            if len(self.known) + len(fresh) >= REMEMBERED:
+            if len(self.known) + len(fresh) >= self.most:
                 self.known.clear()
                 fresh = list(set(block))
             for w in fresh:
@@ -85,32 +91,81 @@ class TextModel:
         return n, total
 
 
+def _piece(*by: str) -> Column:
+    """The text, or of one longer than ``LONGEST`` that many characters from a place chosen by hash, runs of what is no letter as one space."""
+    letters = F.regexp_replace("text", r"[^\p{L}]+", " ")
+    start = F.pmod(F.xxhash64(*by, F.lit("piece")), F.greatest(F.length(letters) - LONGEST + 1, F.lit(1))).cast("int") + 1
+    return F.when(F.length("text") > LONGEST, F.substring(letters, start, F.lit(LONGEST))).otherwise(F.col("text"))
+
+
+def _limited(docs: DataFrame, limits: dict[str, int], *by: str) -> DataFrame:
+    """The rows of ``docs`` of each language whose hash is below the language's limit."""
+    table = docs.sparkSession.createDataFrame(sorted(limits.items()), "declared string, _limit bigint")
+    return lowest(docs.join(F.broadcast(table), "declared"), F.col("_limit"), *by)
+
+
+def _sample(docs: DataFrame, counts: dict[str, int], *by: str) -> DataFrame:
+    """declared and the text, or a piece of it, of ``PER_LANGUAGE`` of ``docs`` of each language in ``counts``, those that hash lowest."""
+    some = _limited(docs.where(F.col("text").isNotNull()), {name: rate_limit(n, PER_LANGUAGE) for name, n in counts.items()}, *by)
+    some = cut(some.select("declared", "_low", _piece(*by).alias("text")))
+    got = some.select("declared", "_low").toArrow()  # numbers of some 1250 rows of a language
+    hashes: dict[str, list[int]] = {}
+    for name, low in zip(got["declared"].to_pylist(), got["_low"].to_pylist()):
+        hashes.setdefault(name, []).append(low)
+    last = {name: sorted(all_)[:PER_LANGUAGE][-1] for name, all_ in hashes.items()}
+    table = docs.sparkSession.createDataFrame(sorted(last.items()), "declared string, _last bigint")
+    return some.join(F.broadcast(table), "declared").where("_low <= _last").select("declared", "text")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """declared, trigram (-1: texts with a letter) and count of each batch of declared and text."""
+    for b in batches:
+        counts: dict[tuple[str, int], int] = {}
+        for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            words = WORD.findall(text.lower())
+            for t in ([-1] if words else []) + [t for w in words for t in trigrams(w)]:
+                counts[name, t] = counts.get((name, t), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(counts.values(), pa.int64())], ["declared", "t", "n"])
+
+
+def _trigrams_of(sample: DataFrame) -> dict[str, tuple[np.ndarray, int]]:
+    """The counts of trigrams of each language in ``sample``, and how many of its texts have any."""
+    got = sample.mapInArrow(_counted, "declared string, t int, n bigint").groupBy("declared", "t").agg(F.sum("n").alias("n")).toArrow()
+    names, at, n = np.array(got["declared"].to_pylist(), object), got["t"].to_numpy(), got["n"].to_numpy()
+    found: dict[str, tuple[np.ndarray, int]] = {}
+    order = np.argsort(names, kind="stable")
+    names, at, n = names[order], at[order], n[order]
+    starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+    for a, b in zip(starts, [*starts[1:], len(names)]):
+        count = np.zeros(1 << BITS)
+        count[at[a:b][at[a:b] >= 0]] = n[a:b][at[a:b] >= 0]
+        found[names[a]] = count, int(n[a:b][at[a:b] < 0].sum())
+    return found
+
+
 def fit_text(docs: DataFrame, *by: str) -> TextModel:
-    """Trigram models from a bounded sample of ``docs`` (text, declared), chosen by the hash of the columns ``by``."""
-    counts = docs.where(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    common = {r["declared"]: r["n"] for r in counts.orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()}
-    languages = sorted(common)
-    sample: dict[str, list[tuple[int, str]]] = {name: [] for name in languages}
-    if languages:  # one pass for all of them
-        limit = F.lit(0).cast("bigint")
-        for name, n in common.items():
-            limit = F.when(F.col("declared") == name, rate_limit(n, PER_LANGUAGE)).otherwise(limit)
-        some = docs.where(F.col("declared").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-        for r in lowest(some, limit, *by).select("declared", "_low", "text").collect():
-            sample[r["declared"]].append((r["_low"], r["text"]))
-    table = np.full((1 << BITS, len(languages) + 1), -np.log(1 << BITS))
+    """Trigram models of all declared languages, each from a bounded sample of ``docs`` (text, declared), chosen by the hash of the columns ``by``."""
+    declared = docs.where(F.col("declared").isNotNull() & (F.col("declared") != UND))
+    enough = lambda rows: {r["declared"]: r["n"] for r in rows.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).collect()}
+    counts = enough(declared)
+    found = _trigrams_of(_sample(declared, counts, *by)) if counts else {}
+    # Where many of a language's texts are null or without a letter, few were in its sample: those with one are counted and sampled again.
+    few = [name for name, n in counts.items() if n > PER_LANGUAGE and found.get(name, (None, 0))[1] < PER_LANGUAGE]
+    if few:
+        lettered = declared.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(docs.sparkSession.createDataFrame([(name,) for name in sorted(few)], "declared string")), "declared")
+        again = enough(lettered)
+        found = {name: got for name, got in found.items() if name not in few} | (_trigrams_of(_sample(lettered, again, *by)) if again else {})
+    languages = sorted(name for name, (count, _) in found.items() if count.any())
+    table = np.full((1 << BITS, len(languages) + 1), -np.log(1 << BITS), np.float32)
     for k, name in enumerate(languages):
-        count = np.zeros(1 << BITS)
-        for _, text in sorted(sample[name])[:PER_LANGUAGE]:
-            for w in WORD.findall(text.lower()):
-                np.add.at(count, trigrams(w), 1) if len(w) > 30 else [count.__setitem__(t, count[t] + 1) for t in trigrams(w)]
+        count = found[name][0]
         # A share of the uniform model in each, so that a few unseen trigrams (of a code or a name) do not make a text no language.
-        table[:, k] = np.log((1 - UNSEEN) * count / max(count.sum(), 1) + UNSEEN / (1 << BITS))
-    return TextModel(languages, table.astype(np.float32))
+        table[:, k] = np.log((1 - UNSEEN) * count / count.sum() + UNSEEN / (1 << BITS))
+    return TextModel(languages, table)
 
 
 def posteriors(docs: DataFrame, key: str, model: TextModel) -> DataFrame:
-    """``key``, declared, suffix and host of each row, with n (words) and text (tempered log likelihoods less their largest)."""
+    """``key``, declared, suffix and host of each row, with n (words) and ll (tempered log likelihoods, such that their exponentials sum to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
     keep = [key, "declared", "suffix", "host"]
 
@@ -118,7 +173,7 @@ def posteriors(docs: DataFrame, key: str, model: TextModel) -> DataFrame:
         own = TextModel(*shared.value)
         for b in batches:
             got = [own.likelihoods(t.as_py() or "") for t in b.column(4)]
-            ll = [(TEMPER * (v - v.max())).tolist() for _, v in got]
+            ll = [(v - np.log(np.exp(v).sum())).tolist() for v in (TEMPER * (v - v.max()) for _, v in got)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([n for n, _ in got], pa.int64()), pa.array(ll, pa.list_(pa.float64()))], [*keep, "n", "ll"])
 
     return docs.select(*keep, "text").mapInArrow(run, f"{key} bigint, declared string, suffix string, host string, n bigint, ll array<double>")
@@ -135,8 +190,7 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     names = [*model.languages, UND]
     rng = range(len(names))
     rows = cut(posteriors(docs, key, model))
-    top = F.aggregate(F.transform("ll", lambda x: F.exp(x)), F.lit(0.0), lambda a, x: a + x)
-    soft = rows.where("n > 0").select("declared", "suffix", "host", *[(F.exp(F.col("ll")[i]) / top).alias(f"p{i}") for i in rng])
+    soft = rows.where("n > 0").select("declared", "suffix", "host", *[F.exp(F.col("ll")[i]).alias(f"p{i}") for i in rng])
     sums = [F.sum(f"p{i}").alias(f"s{i}") for i in rng]
     everything = soft.agg(*sums, F.count("*").alias("m")).first()
     whole = [((everything[i] or 0.0) + 1.0) / ((everything["m"] or 0) + len(names)) for i in rng]
@@ -156,8 +210,9 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     out = out.withColumn("_log", log).withColumn("_max", F.array_max("_log"))
     best = F.element_at(F.lit(names), F.array_position("_log", F.col("_max")).cast("int"))
     out = out.withColumn("confidence", 1 / F.aggregate(F.transform("_log", lambda x: F.exp(x - F.col("_max"))), F.lit(0.0), lambda a, x: a + x))
-    known = 1 - F.col("confidence") * F.exp(F.element_at("_log", -1) - F.col("_max"))
-    out = out.withColumn("lang_pred", F.when(F.col("n") > 0, best).otherwise(F.lit(UND)))
+    unmodelled = F.coalesce(F.col("declared") != UND, F.lit(False)) & ~F.array_contains(F.lit(names), F.coalesce("declared", F.lit(UND)))
+    known = F.when(unmodelled, 1.0).otherwise(1 - F.col("confidence") * F.exp(F.element_at("_log", -1) - F.col("_max")))
+    out = out.withColumn("lang_pred", F.when(F.col("n") == 0, F.lit(UND)).when(unmodelled & (best == UND), F.col("declared")).otherwise(best))
     kept = (F.col("n") > 0) & (F.col("lang_pred") != UND) & (known >= SURE)
     return out.select(key, "lang_pred", "confidence", kept.alias("kept"), F.col("n").alias("n_words"))
 
