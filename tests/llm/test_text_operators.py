@@ -87,6 +87,21 @@ def test_pii_context(documents):
     assert got[1] == "ssn:4:15" and got[2] == "" and "iban" not in got[3]
 
 
+def test_pii_context_reaches_past_other_matches(documents):
+    """Words count by their distance in the text, whatever matches lie between, over blocks of matches too."""
+    ssns = [f"123-45-{6000 + i}" for i in range(600)]
+    texts = [
+        "SSN: 123-45-6789, 123-45-6780, 123-45-6781, 123-45-6782, 123-45-6783", "123-45-6789, 123-45-6780, 123-45-6781 (all SSN)", "\U0001f600 SSN\n" + "\n".join(ssns[:9]),
+        ", ".join(ssns[:250]) + " SSN " + ", ".join(ssns[250:]), " ".join(ssns[:255]) + " SSN 123-45-6789", "SSN 4111111111111111 000-12-3456 123-45-6789",
+    ]
+    got = {x.doc_id: x.spans for x in pii.report(documents(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        near = lambda m: t[max(0, m.start() - pii.NEARBY) : m.start()] + " " + t[m.end() : m.end() + pii.NEARBY]  # noqa: B023, E731
+        want = [f"ssn:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t) if m[0][:3] != "000" and "ssn" in near(m).lower()]
+        assert [s for s in got[i].split(",") if s.startswith("ssn")] == want and len(want) > 0, t
+    assert got[0].count("ssn") == 4 and pii.redact(documents([(1, texts[1])])).first().text == "[SSN], [SSN], [SSN] (all SSN)"
+
+
 def test_pii_redacts(documents):
     rows = [(1, "mail a@b.cc or +1 555 123 4567!"), (2, "nothing"), (3, None), (4, "4111111111111111"), (5, "\U0001f600a@b.c\U0001f600")]
     got = {x.doc_id: x for x in pii.redact(documents(rows)).collect()}

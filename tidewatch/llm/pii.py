@@ -24,8 +24,9 @@ from .common import own_columns, rows_again, with_row
 THRESHOLD = 0.7
 #: Code points before and after a span in which words are looked for.
 NEARBY = 48
-#: Matches of a text handled at once, so that long lists are not copied for each match.
-BLOCK = 256
+#: Matches of a text handled at once, so that long lists are not copied for each match, and how many of those after one may
+#: begin within ``NEARBY``, as none is shorter than two code points.
+BLOCK, AHEAD = 256, NEARBY // 2
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 HIT = "struct<start:int,end:int,hit:string,near:string>"
 
@@ -66,26 +67,31 @@ CONFIRM: dict[str, Callable[[Column], Column]] = {
 
 
 def _located(gaps: Column, hits: Column, kind: str) -> Column:
-    """The confirmed matches of a kind with their positions and surroundings."""
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
+    """The confirmed matches of a kind with their positions and surroundings, other matches among them."""
+    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK),
+        lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK + AHEAD),
     )
-
-    def one(acc: Column, p: Column) -> Column:
-        start = acc["pos"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        near = F.concat(F.right(p["gap"], F.lit(NEARBY)), F.lit(" "), F.left(F.coalesce(p["next"], F.lit("")), F.lit(NEARBY)))
-        new = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"), near.alias("near")))
-        return F.struct(end.alias("pos"), F.when(F.coalesce(CONFIRM[kind](p["hit"]), F.lit(False)), F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+    first = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(NEARBY))
+    last = lambda *cs: F.right(F.concat(*cs), F.lit(NEARBY))
 
     def block(acc: Column, ps: Column) -> Column:
-        start = F.struct(acc["pos"].alias("pos"), F.array().cast(f"array<{HIT}>").alias("out"))
-        done = F.aggregate(F.filter(ps, lambda p: p["hit"].isNotNull()), start, one)
-        return F.struct(done["pos"].alias("pos"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{HIT}>>").alias("out"))
+        def one(acc: Column, p: Column) -> Column:
+            start = acc["pos"] + F.length(p["gap"])
+            end = start + F.length(p["hit"])
+            # The code points before this match and the next are carried along, those after are put together for what is confirmed.
+            after = F.array_join(F.transform(F.slice(ps, acc["k"] + 2, AHEAD), lambda q: F.concat(first(q["gap"]), first(q["hit"]))), "")
+            near = F.concat(last(acc["tail"], p["gap"]), F.lit(" "), first(after))
+            new = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"), near.alias("near")))
+            out = F.when(F.coalesce(CONFIRM[kind](p["hit"]), F.lit(False)), F.concat(acc["out"], new)).otherwise(acc["out"])
+            return F.struct(end.alias("pos"), last(acc["tail"], p["gap"], p["hit"]).alias("tail"), (acc["k"] + 1).alias("k"), out.alias("out"))
+
+        start = F.struct(acc["pos"].alias("pos"), acc["tail"].alias("tail"), F.lit(0).alias("k"), F.array().cast(f"array<{HIT}>").alias("out"))
+        done = F.aggregate(F.filter(F.slice(ps, 1, BLOCK), lambda p: p["hit"].isNotNull()), start, one)
+        return F.struct(done["pos"].alias("pos"), done["tail"].alias("tail"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(f"array<array<{HIT}>>").alias("out"))
     return F.flatten(F.aggregate(blocks, zero, block)["out"])
 
 
