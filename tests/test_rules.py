@@ -75,3 +75,16 @@ def test_case(spark, rule, name, inputs, expect, options):
     text = rule + "\n" + test_text(name, rule.split()[1], inputs, expect, options)
     (outcome,) = run_tests(spark, text, SCHEMAS)
     assert outcome.failures == []
+
+
+def test_fmt_keeps_the_whole_template(spark):
+    """All that is left of a template after its arguments stays, and a null template is null."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.functions.scalar import _fmt
+    from tidewatch.functions.values import Value
+
+    rows = [(1, "a{}" + "b{}" * 1500 + "end"), (2, "x"), (3, "{}"), (4, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {r.k: r.s for r in df.select("k", _fmt([Value(F.col("t"), "str"), Value(F.lit("v"), "str")]).column.alias("s")).collect()}
+    assert got == {1: "av" + "b{}" * 1500 + "end", 2: "x", 3: "v", 4: None}

@@ -133,7 +133,7 @@ def _fmt(a: Args) -> Value:
     pieces = [F.get(parts, F.lit(0))]
     for k, v in enumerate(a[1:], 1):
         pieces += [F.when(F.size(parts) > k, text(v)).otherwise(F.lit("")), F.coalesce(F.get(parts, F.lit(k)), F.lit(""))]
-    rest = F.array_join(F.slice(F.concat(F.array(F.lit("")), F.slice(parts, len(a) + 1, 1000)), 1, 1001), "{}")
+    rest = F.array_join(F.concat(F.array(F.lit("")), F.slice(parts, F.lit(len(a) + 1), F.size(parts))), "{}")
     return _s(F.concat(*pieces, rest))
 
 
