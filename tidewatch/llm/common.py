@@ -15,10 +15,12 @@ SALTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; only where it names none (tests, a laptop) is a temporary one made."""
+    """The checkpoint folder the session names; only where it names none and runs in one process (tests, a laptop) is a temporary one made."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
         named = context.getCheckpointDir()
     elif context.getCheckpointDir() is None:
@@ -80,7 +82,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     ``longest`` characters, so the result is bounded by 2 * per_class * longest characters.
     The ids are chosen from the labels alone, so that only their texts are moved.
     """
-    ids = labels.select("doc_id", F.col(label).alias("_y")).where(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull())
+    ids = own_columns(labels, ("doc_id", label)).withColumnRenamed(label, "_y").where(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull())
     ids = ids.where(split_of(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in ids.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     chosen: list[tuple[int, int]] = []
@@ -90,7 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     if not chosen:
         return []
     wanted = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, _y int")  # at most 2 * per_class rows of two numbers
-    got = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    got = own_columns(docs, ("doc_id", "text")).where(F.length("text") <= longest).join(F.broadcast(wanted), "doc_id")
     rows = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).collect()
     return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
@@ -100,24 +102,32 @@ def split_of(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
 
 
-TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "url": "string", "html": "string", "page_id": "bigint", "quality": "int", "toxic": "int"}
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called by their places, so that names that are alike but for case, or altogether, can't clash."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def _picked(columns: Sequence[str], names: Sequence[str]) -> list[Column]:
+    """The named columns of a ``numbered`` DataFrame, the first of each name, null of the right type where there is none."""
+    return [(F.col(f"_c{columns.index(n)}") if n in columns else F.lit(None)).cast(TYPES[n]).alias(n) for n in names]
 
 
 def own_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Only the named columns, null of the right type where one is missing; extra columns go, those too that differ in case only."""
-    if len({c.lower() for c in df.columns}) < len(df.columns):
-        df = df.toDF(*[c if c in names else f"_extra_{i}" for i, c in enumerate(df.columns)])
-    return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(TYPES[n]).alias(n) for n in names])
+    return numbered(df).select(*_picked(df.columns, names))
 
 
 def with_row(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The named columns of ``df``, and the whole row as ``_row``, out of the way of any names used here."""
-    return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(TYPES[n]).alias(n) for n in names], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    """The named columns of ``df``, and the whole row as ``_row``, by places, out of the way of any names used here."""
+    return numbered(df).select(*_picked(df.columns, names), F.struct(*[F.col(f"_c{i}") for i in range(len(df.columns))]).alias("_row"))
 
 
 def rows_again(df: DataFrame, columns: Sequence[str], new: dict[str, Column] | None = None) -> DataFrame:
-    """The rows of ``with_row``, with some columns ``new``."""
-    return df.select(*[(new or {}).get(c, F.col("_row")[c]).alias(c) for c in columns])
+    """The rows of ``with_row``, with some columns (the first of their names) ``new``."""
+    return df.select(*[(new or {}).get(c, F.col("_row")[f"_c{i}"]).alias(c) if columns.index(c) == i else F.col("_row")[f"_c{i}"].alias(c) for i, c in enumerate(columns)])
 
 
 def row_key() -> Column:

@@ -226,8 +226,10 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 def of_pages(pages: DataFrame) -> DataFrame:
     """The same from web pages: the markup's lang attribute, the address's suffix and host, the text between the tags."""
+    pages = own_columns(pages, ("page_id", "url", "html"))
     html = F.coalesce("html", F.lit(""))
-    code = F.lower(F.regexp_extract(html, r"(?i)<html[^>]{0,500}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    tag = F.regexp_extract(html, r"(?i)<html\b[^>]*+>?", 0)  # the first, whatever its length
+    code = F.lower(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*>", " "), "<[^>]*+>", " ")
     return pages.select("page_id", text.alias("text"), F.when(code != "", code).alias("declared"), F.nullif(F.substring_index(host, ".", -1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host"))

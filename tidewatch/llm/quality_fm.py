@@ -130,7 +130,7 @@ def train(sample: list[tuple[str, int]], positive_share: float = 0.5) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    known = labels.where(F.col("quality").isin(0, 1) & (split_of(F.col("doc_id"), MODULUS) != HELD))
+    known = own_columns(labels, ("doc_id", "quality")).where(F.col("quality").isin(0, 1) & (split_of(F.col("doc_id"), MODULUS) != HELD))
     share = known.agg(F.avg("quality")).first()[0]
     return train(labelled_sample(docs, labels, "quality", MODULUS, HELD, PER_CLASS, LONGEST), 0.5 if share is None else share)
 
