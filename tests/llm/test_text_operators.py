@@ -533,13 +533,67 @@ def test_licences(spark, sf, texts):
             assert known[family] in texts[x.doc_id][int(a) : int(b)]
 
 
-def test_licence_families():
-    model = licences.train([prose(i, 12) for i in range(400)])
+@pytest.fixture(scope="module")
+def licence_model():
+    return licences.train([prose(i, 12) for i in range(400)])
+
+
+def test_licence_families(licence_model):
+    """Each template is of its family, wherever it stands and however it is wrapped; speaking of a licence or denying it is none."""
+    found = lambda t: [(f, t[a:b]) for f, a, b, _ in licence_model.scan(t)]
     for family, shown in licences.TEMPLATES.items():
         for t in shown:
-            assert model.paragraph(t)[0] == licences.FAMILIES.index(family), t
-    for t in [*licences.DECOYS, "He was granted a license to fish.", "mit und mit", "The general public met in the free state of licence."]:
-        assert model.paragraph(t) is None, t
+            far, wrapped = f"{prose(1, 400)[:-1]} {t} {prose(2, 300)}", t.replace(" ", "\n", 9)
+            assert found(t) == [(family, t)] and found(far) == [(family, t)] and found(wrapped) == [(family, wrapped)], (t, found(far))
+            if t.split(" ")[1] == "under":
+                assert found(f"This file is not {t[0].lower()}{t[1:]}") == found(f"The code was never {t[0].lower()}{t[1:]}") == [], t
+    for t in [*licences.DECOYS, "He was granted a license to fish.", "mit und mit", "The general public met in the free state of licence.", "The MIT License does not apply here.", "Nothing in this folder is released under the MIT License."]:
+        assert found(t) == [], t
+    assert found("Licensed under the GNU Affero General Public License, version 3.")[0][0] == "agpl"
+    assert [f for f, _ in found("Released under the MIT License.\n \nLicensed under CC BY-NC 4.0. Released under the ISC License.")] == ["mit", "cc-by-nc", "isc"]
+    assert found("\u0130\u0130 Released under the MIT License! x")[0][1] == "Released under the MIT License!"
+
+
+def test_licences_against_brute_force(documents, licence_model):
+    """The query's rows are what scoring every stretch of every paragraph by the plain formula gives."""
+    r = random.Random(8)
+    notices = [t for shown in licences.TEMPLATES.values() for t in shown]
+    texts = ["\n".join(r.choice([prose(r.random(), r.randint(1, 30)), r.choice(notices), "", r.choice(licences.DENIALS) + " " + r.choice(notices)]) for _ in range(r.randint(1, 7))) for _ in range(150)]
+    w, shown = licence_model.weights, [(f, set(zip(ws, ws[1:]))) for f, ts in licences.TEMPLATES.items() for ws in map(licences.words_of, ts)]
+    place = lambda word: zlib.crc32(word.encode())
+
+    def best(words, a, b):
+        ids = [place(x) for x in words[a:b]]
+        f = ids + [(x * 0x9E3779B1 + y * 0x85EBCA6B) % 2**32 for x, y in zip(ids, ids[1:])] + [place("<" + x) for x in words[max(0, a - licences.AROUND) : a]] + [place(">" + x) for x in words[b : b + licences.AROUND]]
+        z = sum(w[x >> (32 - licences.BITS)] for x in f) / len(f) ** 0.5 / licence_model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return licences.FAMILIES[int(p.argmax())], p.max()
+
+    got = {x.doc_id: x for x in licences.scanned(documents(list(enumerate(texts))), licence_model).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for part in re.split(r"\n[^\S\n]*\n", t):
+            words = licences.words_of(part)
+            for family, own in shown:
+                at = [k for k in range(len(words) - 1) if (words[k], words[k + 1]) in own]
+                for k, a in enumerate(at):
+                    if k and a - at[k - 1] <= licences.GAP + 1:
+                        continue  # within a run
+                    run = [a]
+                    for b in at[k + 1 :]:
+                        if b - run[-1] > licences.GAP + 1:
+                            break
+                        run.append(b)
+                    here = set(zip(words[a : run[-1] + 2], words[a + 1 : run[-1] + 2]))
+                    both = len(here & own)
+                    if both >= 2 and 2 * both >= len(own) and 2 * both / (len(here) + len(own)) >= licences.ALIKE:
+                        named, p = best(words, a, run[-1] + 2)
+                        if named == family and p >= licence_model.least:
+                            want.append((family, p))
+        x = got[i]
+        assert {f for f, _ in want} >= {s.rsplit(":", 2)[0] for s in x.spans.split(",") if s} and bool(want) == bool(x.licence), t
+        if want:
+            assert x.confidence <= max(p for _, p in want) + 1e-5 and x.licence in {f for f, _ in want}
 
 
 # Odd rows.
