@@ -43,15 +43,20 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spare: str) -> DataFrame:
+def are_few(groups: DataFrame) -> bool:
+    """Whether a table (that should be checkpointed) may be broadcast, by its count."""
+    return groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, spare: str, few: bool | None = None) -> DataFrame:
     """Left join a table of one row per group (null is a group too) to rows of which one group may hold most.
 
-    ``groups`` is counted first (it should be checkpointed).  Up to ``BROADCAST_ROWS`` rows it is
+    ``groups`` is counted first, unless ``few`` says what came of it.  Up to ``BROADCAST_ROWS`` rows it is
     broadcast; beyond that it is copied once per salt, and the rows of a group are dealt
     over the salts by a hash of ``spare``, so that no task gets a whole hot group.
     """
     g = groups.withColumnRenamed(key, "_gk")
-    if g.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if are_few(g) if few is None else few:
         return rows.join(F.broadcast(g), rows[key].eqNullSafe(g["_gk"]), "left").drop("_gk")
     g = g.withColumn("_gs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     r = rows.withColumn("_rs", F.pmod(F.xxhash64(spare), F.lit(SALTS)).cast("int"))

@@ -11,14 +11,15 @@ Four kinds of evidence are combined for each document:
 
 log posterior = TEMPER * text + log P(l | host) + log P(l | declared) - log P(l).
 
-Each declared language of ``LEAST_TEXTS`` texts or more has a trigram model, fitted to at most ``PER_LANGUAGE`` of its texts, a piece of
+Each declared language has a trigram model, fitted to at most ``PER_LANGUAGE`` of its texts, a piece of
 ``LONGEST`` characters of those that are longer; the trigrams are counted by a grouped sum.  Everything else uses all rows.  A document is
 kept if the languages together reach ``SURE`` and the best is not the uniform model (``und``): one that mixes two languages is kept,
-whichever wins.  For a document that declares a language without a model (too few texts to fit one, or none with a letter) the uniform
+whichever wins.  For a document that declares a language without a model (no text of it has a letter) the uniform
 model stands for that language: where it wins, the declaration is what is left to go by.
 
 Edge cases: a null, empty or letterless text is ``und`` and not kept; a null declared language, suffix or host is a group of its own;
-repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
+texts are read whole, however long; of languages equally probable the first by name is taken; repeated rows each get a row; extra columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_group, lowest, own_columns, rate_limit, row_key, rows_again, with_row
+from .common import are_few, cut, join_by_group, lowest, own_columns, rate_limit, row_key, rows_again, with_row
 
-PER_LANGUAGE, LONGEST, LEAST_TEXTS = 800, 20_000, 3
+PER_LANGUAGE, LONGEST = 800, 20_000
 BITS = 15
 TEMPER = 0.25
 UNSEEN = 0.05
@@ -146,7 +147,7 @@ def _trigrams_of(sample: DataFrame) -> dict[str, tuple[np.ndarray, int]]:
 def fit_text(docs: DataFrame, *by: str) -> TextModel:
     """Trigram models of all declared languages, each from a bounded sample of ``docs`` (text, declared), chosen by the hash of the columns ``by``."""
     declared = docs.where(F.col("declared").isNotNull() & (F.col("declared") != UND))
-    enough = lambda rows: {r["declared"]: r["n"] for r in rows.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).collect()}
+    enough = lambda rows: {r["declared"]: r["n"] for r in rows.groupBy("declared").agg(F.count("*").alias("n")).collect()}  # noqa: E731  a row for each declared code
     counts = enough(declared)
     found = _trigrams_of(_sample(declared, counts, *by)) if counts else {}
     # Where many of a language's texts are null or without a letter, few were in its sample: those with one are counted and sampled again.
@@ -164,32 +165,34 @@ def fit_text(docs: DataFrame, *by: str) -> TextModel:
     return TextModel(languages, table)
 
 
-def posteriors(docs: DataFrame, key: str, model: TextModel) -> DataFrame:
-    """``key``, declared, suffix and host of each row, with n (words) and ll (tempered log likelihoods, such that their exponentials sum to 1)."""
+def posteriors(docs: DataFrame, keys: tuple[str, ...], model: TextModel) -> DataFrame:
+    """``keys``, declared, suffix and host of each row, with n (words) and ll (tempered log likelihoods, such that their exponentials sum to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
-    keep = [key, "declared", "suffix", "host"]
+    keep = [*keys, "declared", "suffix", "host"]
+    n_kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TextModel(*shared.value)
         for b in batches:
-            got = [own.likelihoods(t.as_py() or "") for t in b.column(4)]
+            got = [own.likelihoods(t.as_py() or "") for t in b.column(n_kept)]
             ll = [(v - np.log(np.exp(v).sum())).tolist() for v in (TEMPER * (v - v.max()) for _, v in got)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([n for n, _ in got], pa.int64()), pa.array(ll, pa.list_(pa.float64()))], [*keep, "n", "ll"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_kept], pa.array([n for n, _ in got], pa.int64()), pa.array(ll, pa.list_(pa.float64()))], [*keep, "n", "ll"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{key} bigint, declared string, suffix string, host string, n bigint, ll array<double>")
+    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{k} bigint" for k in keys) + ", declared string, suffix string, host string, n bigint, ll array<double>")
 
 
 def _shares(sums: list[Column], coarser: list[Column], total: Column) -> list[Column]:
     return [(s + KAPPA * c) / (total + KAPPA) for s, c in zip(sums, coarser)]
 
 
-def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, lang_pred, confidence, kept and n for each row of ``docs`` (key, text, declared, suffix, host)."""
-    docs = docs.select(F.col(key).cast("bigint").alias(key), "text", *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host")])
-    model = fit_text(docs, key, "text")
+def identify(docs: DataFrame, *keys: str) -> DataFrame:
+    """The columns ``keys`` (else doc_id), declared, lang_pred, confidence, kept and n_words for each row of ``docs`` (keys, text, declared, suffix, host)."""
+    keys = keys or ("doc_id",)
+    docs = docs.select(*[F.col(k).cast("bigint").alias(k) for k in keys], "text", *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host")])
+    model = fit_text(docs, *keys, "text")
     names = [*model.languages, UND]
     rng = range(len(names))
-    rows = cut(posteriors(docs, key, model))
+    rows = cut(posteriors(docs, keys, model))
     soft = rows.where("n > 0").select("declared", "suffix", "host", *[F.exp(F.col("ll")[i]).alias(f"p{i}") for i in rng])
     sums = [F.sum(f"p{i}").alias(f"s{i}") for i in rng]
     everything = soft.agg(*sums, F.count("*").alias("m")).first()
@@ -203,8 +206,8 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     by_host = cut(by_host.groupBy("host").agg(F.max_by("of_host", "m").alias("of_host")))  # a host has one suffix
     by_declared = soft.groupBy("declared").agg(*sums, F.count("*").alias("m"))
     by_declared = cut(by_declared.select("declared", F.array(*_shares([F.col(f"s{i}") for i in rng], overall, F.col("m"))).alias("of_declared")))
-    out = join_by_group(rows, by_host, "host", key)
-    out = join_by_group(out, by_declared, "declared", key)
+    out = join_by_group(rows, by_host, "host", keys[-1])
+    out = join_by_group(out, by_declared, "declared", keys[-1])
     flat = F.lit(whole)
     log = F.zip_with(F.zip_with("ll", F.transform(F.coalesce("of_host", flat), lambda p: F.ln(p)), lambda a, b: a + b), F.transform(F.zip_with(F.coalesce("of_declared", flat), flat, lambda p, q: p / q), lambda p: F.ln(p)), lambda a, b: a + b)
     out = out.withColumn("_log", log).withColumn("_max", F.array_max("_log"))
@@ -214,7 +217,7 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     known = F.when(unmodelled, 1.0).otherwise(1 - F.col("confidence") * F.exp(F.element_at("_log", -1) - F.col("_max")))
     out = out.withColumn("lang_pred", F.when(F.col("n") == 0, F.lit(UND)).when(unmodelled & (best == UND), F.col("declared")).otherwise(best))
     kept = (F.col("n") > 0) & (F.col("lang_pred") != UND) & (known >= SURE)
-    return out.select(key, "lang_pred", "confidence", kept.alias("kept"), F.col("n").alias("n_words"))
+    return out.select(*keys, "declared", "lang_pred", "confidence", kept.alias("kept"), F.col("n").alias("n_words"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
@@ -236,8 +239,15 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known, all columns; rows alike in id and text share their fate."""
-    keyed = of_documents(docs).withColumn("key", row_key())
-    gone = identify(keyed, "key").where(~F.col("kept")).select(F.col("key").alias("_key")).distinct()
-    rows = with_row(docs, ("doc_id", "text")).select("_row", row_key().alias("_key"))
-    return rows_again(rows.join(gone, "_key", "left_anti"), docs.columns)
+    """The rows of ``docs`` whose language is known, all columns; ``lang`` becomes the language told where that is not the one declared.
+
+    Rows alike in id and text share their fate: they go if one of them is to go, and of several new languages the first by name is taken.  Only what
+    changes is joined to the texts, which move only if that is more than may be broadcast.
+    """
+    told = identify(of_documents(docs).withColumn("key", row_key()), "doc_id", "key")
+    changes = told.where(~F.col("kept") | ~F.col("lang_pred").eqNullSafe(F.col("declared")))
+    changes = cut(changes.groupBy("doc_id", "key").agg(F.bool_and("kept").alias("_kept"), F.min("lang_pred").alias("_new")))
+    changes = changes.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_kept", "_new")
+    rows = with_row(docs, ("doc_id", "text", "lang")).select("_row", "doc_id", "lang", row_key().alias("_key"))
+    out = rows.join(F.broadcast(changes) if are_few(changes) else changes, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    return rows_again(out.where(F.coalesce("_kept", F.lit(True))), docs.columns, {"lang": F.coalesce("_new", "lang")})
