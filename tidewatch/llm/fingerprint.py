@@ -6,16 +6,17 @@ or deleted by adding or subtracting its vector (``insert``, ``delete``).  The ve
 
 * ``WIDE`` lanes of 32 bits, uniform hashes of the paragraph, summed modulo 2^32: equal for equal multisets of
   paragraphs, and else different but for chance;
-* ``len(SHIFTS) * HASHES * 3`` lanes of 18 bits, of which each of the paragraph's phrases (a few words, cut where a
-  word's ending says so) sets about half, summed modulo powers of 2, three lanes to a long.  With the
-  number of phrases they give the sum of vectors of +1 and -1, whose products estimate the multisets' likeness:
-  2ab / (aa + bb), 0 at least.
+* ``len(SHIFTS) * HASHES * 2`` lanes of 31 bits, of which each of the paragraph's phrases (a few words, cut where a
+  word's ending says so) sets about half, summed modulo powers of 2, two lanes to a long; no text that Spark can hold has phrases
+  enough to fill a lane.  With the number of phrases they give the sum of vectors of +1 and -1, whose products estimate the
+  multisets' likeness: 2ab / (aa + bb), 0 at least.
 
 The document after each, by ascending id, is found without bringing all rows together: split points of
 the id deal documents into buckets, the first document of a bucket goes to the one before as well, and a window runs
 in each.  Texts are moved once.
 
-Edge cases: a null text counts as empty (no paragraphs, all lanes zero); rows that share an id follow each other by
+Edge cases: a null text counts as empty, which is one paragraph without words (so the fingerprint of a text and of one put after it, line by line, is
+always the sum of theirs); texts are read whole, however long; rows that share an id follow each other by
 their text's hash; rows of a null id come last; the last row's next is the first, and a single row is its own next;
 extra columns are ignored; an empty table gives no rows.
 """
@@ -32,11 +33,11 @@ from .common import own_columns, spread
 
 WIDE = 8
 HASHES = 2
-SHIFTS = range(16)
-LANE = 18
+SHIFTS = range(24)
+LANE, LANES = 31, 2
 _LOW = 0xFFFFFFFF
-_SET = 1 | 1 << LANE | 1 << 2 * LANE
-_ALL = (1 << 3 * LANE) - 1
+_SET = sum(1 << LANE * k for k in range(LANES))
+_ALL = (1 << LANES * LANE) - 1
 #: A phrase ends at a line's end, after a mark, and after words with these endings.
 PHRASE = r"(?<=[^A-Za-z\s]|[ehnEHN])[\x20\t]+|\n"
 #: Buckets of ids for each shuffle partition.
@@ -53,7 +54,7 @@ def _sum(hashes: Column, of: Callable[[Column], Column]) -> Column:
 
 def wide_lanes(text: Column) -> Column:
     """The uniform lanes of a text, two from each hash of its paragraphs."""
-    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
+    lines = F.split(text, "\n", -1)
     lanes = []
     for k in range(WIDE // 2):
         hashes = F.transform(lines, _keyed(k))
@@ -99,7 +100,7 @@ def likeness(a: Column, b: Column) -> Column:
     n = HASHES * len(SHIFTS)
 
     def signs(v: Column) -> Column:
-        return F.flatten(F.transform(F.slice(v, WIDE + 1, n), lambda x: F.array(*[(2 * F.shiftrightunsigned(x, LANE * k).bitwiseAND(F.lit((1 << LANE) - 1)) - F.element_at(v, -1)).cast("double") for k in range(3)])))
+        return F.flatten(F.transform(F.slice(v, WIDE + 1, n), lambda x: F.array(*[(2 * F.shiftrightunsigned(x, LANE * k).bitwiseAND(F.lit((1 << LANE) - 1)) - F.element_at(v, -1)).cast("double") for k in range(LANES)])))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
@@ -113,7 +114,7 @@ def likeness(a: Column, b: Column) -> Column:
 def text_of(v: Column) -> Column:
     """The fingerprint as lowercase hex: the wide lanes, then the others."""
     wide = F.transform(F.slice(v, 1, WIDE), lambda x: F.lpad(F.hex(x), 8, "0"))
-    return F.lower(F.array_join(F.concat(wide, F.transform(F.slice(v, WIDE + 1, HASHES * len(SHIFTS) + 1), lambda x: F.lpad(F.hex(x), 14, "0"))), ""))
+    return F.lower(F.array_join(F.concat(wide, F.transform(F.slice(v, WIDE + 1, HASHES * len(SHIFTS) + 1), lambda x: F.lpad(F.hex(x), 16, "0"))), ""))
 
 
 def with_next(df: DataFrame, what: list[str], ghosts: bool = False) -> DataFrame:
