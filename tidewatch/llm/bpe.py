@@ -17,7 +17,7 @@ arc.  Decoding emits the labels of the arcs, joined as the vocabulary's library
 decoder.
 
 The vocabulary is read on the driver from a path that is a parameter, and its merges (of a fixed size)
-are sent to the executors.  Texts are handled whole, in Arrow batches; words seen before are looked up in a
+are sent to the executors; a file whose settings are not those built in is refused.  Texts are handled whole, in Arrow batches; words seen before are looked up in a
 table of bounded size.
 
 Edge cases: a null text counts as empty, which has no tokens; repeated rows each get a row; a null doc_id stays
@@ -138,19 +138,39 @@ class Automaton:
         return path
 
 
+#: The settings of vocabulary files that are built in here; files of other settings are refused.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def refuse_others(spec: dict) -> None:
+    """Raises if a vocabulary file asks for anything that this module does not do."""
+    model = spec["model"]
+    other = [k for k, want in (("normalizer", NORMALISER), ("pre_tokenizer", SPLITTING), ("decoder", None)) if spec.get(k) != want]
+    other += [k for k, want in (("type", "BPE"), *PLAIN.items()) if model.get(k, want) != want]
+    other += ["added_tokens" for t in spec["added_tokens"] if t.get("normalized") or t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if other:
+        raise ValueError(f"the vocabulary file has settings that are not built in: {', '.join(dict.fromkeys(other))}")
+
+
 class Tokenizer:
-    """Encodes and decodes as the file says: special strings, normaliser, pre-splitting, automaton, labels."""
+    """Encodes and decodes as files of the settings above say: special strings, normaliser, pre-splitting, automaton, labels."""
 
     def __init__(self, file: bytes) -> None:
         spec = json.loads(file)
+        refuse_others(spec)
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.letters = byte_letters()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
+        self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
+        self.pieces = regex.compile(PIECES.replace(r"\s", SPACE))
         labels = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.labels = [labels.get(i, "") for i in range(max(labels, default=-1) + 1)]
         self.new: dict[str, bytes] = {}
@@ -180,7 +200,7 @@ class Tokenizer:
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
+        parts = self.split_special.split(text) if any([s in text for s in self.special]) else [text]
         for part in parts:
             if part in self.special:
                 out.append(np.array([self.special[part]], IDS).tobytes())
