@@ -9,7 +9,7 @@ weighted to their true shares, and sent to the executors; scoring reads whole te
 The score depends on the text alone.  Rows whose crc32(doc_id) mod 5 is 0 are never learned from.
 
 Edge cases: a null text counts as empty, which is scored by its structure alone; without labels of both kinds
-all scores are that of the untrained model; repeated rows each get a row; a null doc_id is not held out;
+all scores are that of the untrained model; texts are scored whole, however long; a score of just the threshold is label 1; repeated rows each get a row; a null doc_id is not held out;
 extra columns are ignored; an empty table gives no rows.
 """
 

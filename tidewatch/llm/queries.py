@@ -68,6 +68,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op4_pii that SQL can express."""
+    return op4_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.BASE], "base_sha256")
+
+
+def op9_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op9_fingerprints that SQL can express."""
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def op10_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op10_mixing that SQL can express."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op1_language_pages": op1_language_pages,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
+    "op4_pii_base": op4_pii_base,
+    "op9_edits": op9_edits,
+    "op10_targets": op10_targets,
 }
 
 #: DuckDB's expressions for a text's words and for what is no word.
@@ -122,6 +140,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM odds"""
 
 
-#: The others can't be said in SQL; tests/llm hold them against brute force, and the queries op4_pii_base, op9_edits and op10_targets have SQL
-#: for those columns of theirs that it can express.
-ORACLES: dict[str, str] = {"op5_host_quality": _host_sql()}
+def _pii_sql() -> str:
+    """op4's base spans: a kind's matches and what lies between them give the positions."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    luhn = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: (ascii(digits[-i]) - 48) * (2 - i % 2) - CASE WHEN i % 2 = 0 AND ascii(digits[-i]) > 52 THEN 9 ELSE 0 END)) % 10 = 0"
+    good = {"email": "true", "ip": "list_bool_and(list_transform(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(nullif(ltrim(x, '0'), ''), '0')[:3]::INT <= 255))", "card": f"length(digits) BETWEEN 12 AND 19 AND {luhn}", "phone": "length(digits) BETWEEN 9 AND 15"}
+    parts = " UNION ALL ".join(f"SELECT rid, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM d" for rank, (kind, p) in enumerate(patterns.items()))
+    cases = " ".join(f"WHEN '{kind}' THEN {test}" for kind, test in good.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({parts}),
+each AS (SELECT rid, kind, rank, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM found WHERE len(hits) > 0),
+placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS "end", regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM each),
+kept AS (SELECT rid, kind, rank, ("end" - length(hit))::BIGINT AS start, "end"::BIGINT AS "end" FROM placed WHERE CASE kind {cases} END),
+joined AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in patterns)}, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans FROM kept GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in patterns)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN joined USING (rid)"""
+
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after, (length(text) // 2)::BIGINT AS half FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(left(text, length(text) - half) || left(after, half)) AS edited_sha256 FROM n"""
+
+
+def _targets_sql() -> str:
+    """op10's targets: sources are full from the one of the least size for its weight on; the level is that of the fewest full ones that leaves no other over its limit."""
+    share, most = mixing.SHARE, mixing.MOST
+    return rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN {mixing.WEIGHTS[0]} WHEN 1 THEN {mixing.WEIGHTS[1]} ELSE {mixing.WEIGHTS[2]} END::DOUBLE AS weight FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY {most} * source_size / weight, source) AS k FROM s),
+c AS (
+  SELECT k, {most}::DOUBLE * source_size / weight AS fills, coalesce(sum({most}::DOUBLE * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+    sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, sum(source_size) OVER () AS whole
+  FROM o),
+l AS (SELECT ({share}::DOUBLE * whole - gone) / open_weight AS level FROM c WHERE ({share}::DOUBLE * whole - gone) / open_weight < fills ORDER BY k LIMIT 1)
+SELECT doc_id, size, source_size, least({most}::DOUBLE * source_size, weight * coalesce((SELECT level FROM l), 'inf'::DOUBLE)) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source"""
+
+
+#: The others can't be said in SQL, nor can the other columns of op4, op9 and op10: tests/llm hold them against brute force.
+ORACLES: dict[str, str] = {"op5_host_quality": _host_sql(), "op4_pii_base": _pii_sql(), "op9_edits": EDITS_SQL, "op10_targets": _targets_sql()}

@@ -17,7 +17,10 @@ Components are found by alternating large-star and small-star steps with a check
 
 Edge cases: a null or empty text, or one without words, has the fingerprint zero, which links like any
 other; repeated rows each get a row; a null doc_id is kept and never the smallest of its
-component unless all are null; extra columns are ignored; an empty table gives no rows.
+component unless all are null; texts are read whole, however long; extra columns are ignored; an empty table gives no rows.
+
+Groups of any size: what meets at a fingerprint, a neighbour or a root is summed or made least before it is sent; the joins back to documents
+are sort-merge joins, whose hot partitions (the fingerprint of all empty texts, say) adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -132,7 +135,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = near_duplicates(docs, with_key=True)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("first"))
-    first = first.select(F.col("first")["key"].alias("_key"))
-    keyed = with_row(docs, ("doc_id", "text")).select("_row", row_key().alias("_key")).join(first, "_key", "left_semi")
-    alike = Window.partitionBy("_key").orderBy(F.xxhash64(F.to_json("_row")))
+    first = first.select(F.col("first")["key"].alias("_k"), F.col("first")["doc_id"].alias("_d"))
+    keyed = with_row(docs, ("doc_id", "text")).select("_row", "doc_id", row_key().alias("_key"))
+    keyed = keyed.join(first, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    alike = Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64(F.to_json("_row")))
     return rows_again(keyed.withColumn("_n", F.row_number().over(alike)).where("_n = 1"), docs.columns)

@@ -9,7 +9,7 @@ each of at most ``LONGEST`` characters, and sent to the executors; scoring reads
 The score depends on the text alone.  Rows whose crc32(doc_id) mod 4 is 2 are never learned from.
 
 Edge cases: a null or empty text has the score 0 and no offending sentence; without labels of both kinds all scores are that of the
-untrained model; repeated rows each get a row; a null doc_id is not held out; extra columns
+untrained model; texts are scored whole, however long; of sentences equally bad the first is the worst; repeated rows each get a row; a null doc_id is not held out; extra columns
 are ignored; an empty table gives no rows.
 """
 
