@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.engine import Engine
+from tidewatch.lang.tokens import RuleError
 from tidewatch.queries import ORDER, SCHEMAS, engine
 from tidewatch.sources.sinks import Routes, Sink, load_config, matches, uncovered, write_stream
 from tidewatch.streaming.late import apply_policy, split_late
-from tidewatch.streaming.processor import stream_alerts
+from tidewatch.streaming.processor import drain, stream_alerts, write_batches
 
 RULES = {
     "anchored": 'match<user_id:1d> { on event { e | count >= 3; } } -> score(1)',
@@ -17,26 +18,73 @@ RULES = {
 }
 
 
-@pytest.mark.parametrize("name", list(RULES))
-def test_stream_equals_table(spark, sf, tmp_path, name):
-    text = f"rule r {{ events {{ e : events }} {RULES[name]} entity(user, user_id) yield alerts (n = count(e)) }}"
+def fed(spark, sf, tmp_path):
+    """The tables, and the same with a stream of events that come in three files and a fourth of an event far in the future."""
     table = engine(spark, sf)
-    rule = table.rules(text)[0]
-    columns = ["entity_id", "origin", "fired_at", "score", "n"]
     events = table.tables["events"].withColumn("ts", F.col("ts").cast("timestamp"))
     cut = [F.col("event_id") < 400, (F.col("event_id") >= 400) & (F.col("event_id") < 700), F.col("event_id") >= 700]
-    for i, c in enumerate(cut):
-        events.where(c).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     late = events.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp")).withColumn("user_id", F.lit(-1).cast("bigint")).withColumn("event_id", F.lit(10**9).cast("bigint"))
-    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in [*(events.where(c) for c in cut), late]:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream = stream_alerts(Engine.of(SCHEMAS, {**table.tables, "events": source}, ORDER), rule)
-    q = stream.writeStream.format("memory").queryName(f"out_{name}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table(f"out_{name}").where("entity_id <> '-1'").select(*columns).collect())
     table.tables["events"] = events.unionByName(late)
-    want = sorted(tuple(r) for r in table.alerts(rule).where("entity_id <> '-1'").select(*columns).collect())
-    assert got == want and len(want) > 5
+    return table, Engine.of(SCHEMAS, {**table.tables, "events": source}, ORDER)
+
+
+COLUMNS = ["entity_id", "origin", "fired_at", "score", "n"]
+
+
+def told(df, *more):
+    return sorted(tuple(r) for r in df.where("entity_id <> '-1'").select(*COLUMNS, *more).collect())
+
+
+@pytest.mark.parametrize("name", list(RULES))
+def test_stream_equals_table(spark, sf, tmp_path, name):
+    table, live = fed(spark, sf, tmp_path)
+    rule = table.rules(f"rule r {{ events {{ e : events }} {RULES[name]} entity(user, user_id) yield alerts (n = count(e)) }}")[0]
+    q = stream_alerts(live, rule).writeStream.format("memory").queryName(f"out_{name}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = told(table.alerts(rule))
+    assert told(spark.table(f"out_{name}")) == want and len(want) > 5
+
+
+END = "entity(user, user_id) yield alerts (n = {})"
+BATCHES = {
+    "throttle": "match<user_id:1d:fixed> { on event { e | count >= 1; } } -> score(1) " + END.format("1") + ' limits { max_throttle = "3/d"; on_exceed = "throttle"; }',
+    "throttle_fails": "match<user_id:1d> { on event { e | count >= 2; } } -> score(1) " + END.format("1") + ' limits { max_throttle = "2/h"; on_exceed = "fail_rule"; }',
+    "instances": "match<user_id:1d:fixed> { on event { e | count >= 1; } and close { e | count >= 1; } } -> score(1) " + END.format("count(e)") + ' limits { max_instances = 5; on_exceed = "throttle"; }',
+    "oldest": "match<user_id:session(6h)> { on event { e | count >= 1; } and close { e | count >= 1; } } -> score(1) " + END.format("count(e)") + ' limits { max_instances = 4; on_exceed = "drop_oldest"; }',
+    "top": "match<user_id:1d:fixed> { on event { e | count >= 1; } and close { t: e.value | sum > 0; } } -> score(t) " + END.format("count(e)") + " conv { sort(-t, user_id) | top(2); }",
+    "dedup": "match<user_id:12h:fixed> { on event { e | count >= 1; } and close { c: e | count >= 1; } } -> score(c) " + END.format("c") + " conv { sort(user_id) | dedup(c); where(c >= 1); }",
+    "asof": 'match<user_id:1d:fixed> { on event { e && event_type == "error" | count >= 1; } } -> score(1) join signups asof on user_id == signups.user_id ' + END.format("signups.event_id"),
+    "stages": "match<user_id, event_type:1d:fixed> { on event { e | count >= 1; } and close { burst: e | count >= 1; } } |> match<user_id:10d> { on event { _in | count >= 2; } } -> score(85) entity(user, _in.user_id) yield alerts (n = 2)",
+}
+
+
+@pytest.mark.parametrize("name", list(BATCHES))
+def test_batches_equal_table(spark, sf, tmp_path, name):
+    """Rules that need the emissions of a batch together, and limits, give over a stream what they give over tables."""
+    table, live = fed(spark, sf, tmp_path)
+    rule = table.rules(f"rule r {{ events {{ e : events }} {BATCHES[name]} }}")[0]
+    more = ["rank"] if rule.conv else []
+    write_batches(live, rule, lambda df, batch: df.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={batch}")), str(tmp_path / "run"))
+    want = told(table.alerts(rule), *more)
+    assert told(spark.read.parquet(str(tmp_path / "out")), *more) == want and len(want) > 5
+    if name not in ("instances", "oldest"):
+        with pytest.raises(RuleError, match="write_batches"):
+            stream_alerts(live, rule)
+
+
+@pytest.mark.parametrize("limit", ["", "limits { max_instances = 100; }"])
+def test_drain(spark, sf, tmp_path, limit):
+    """What a stream has told and what draining it tells are what the table tells, whose open windows close at its end."""
+    table, live = fed(spark, sf, tmp_path)
+    rule = table.rules("rule r { events { e : events } match<user_id:1d:fixed> { on event { e | count >= 1; } and close { e | count >= 1; } } -> score(1) entity(user, user_id) yield alerts (n = count(e)) " + limit + " }")[0]
+    q = stream_alerts(live, rule).writeStream.format("memory").queryName(f"drained_{bool(limit)}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = lambda df: sorted(tuple(r) for r in df.select(*COLUMNS).collect())
+    left = rows(drain(live, rule, str(tmp_path / "cp")))
+    assert sorted(rows(spark.table(f"drained_{bool(limit)}")) + left) == rows(table.alerts(rule, final="flush")) and [r[:2] for r in left] == [("-1", "close:flush")]
 
 
 def test_late_rows(spark):

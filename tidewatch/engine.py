@@ -61,37 +61,48 @@ class Engine:
         tables = dict(self.tables)
         plans = stage_plans(rule)
         df: DataFrame | None = None
-        spoken = [rule.score, rule.entity_id, *[e for _, e in rule.output.args], *[e for chain in rule.conv for op in chain for e in op.args]]
-        wanted = {x.name for e in spoken for x in e.walk() if isinstance(x, Ref)} | {a.name for m in rule.stages for j in m.joins for a, _ in j.on}
         for k, plan in enumerate(plans):
             events = bind.bind(plan, tables, self.schemas, self.order)
             df = match.run(plan, events, final, clock)
             if plan.limits and plan.limits.max_throttle:
                 df = match.throttled(df, plan.limits)
-            for j in plan.match.joins:
-                compiler, _ = output.context(plan, df)
-                left = {i: compiler.value(ref).column for i, (ref, _) in enumerate(j.on)}
-                right = self.tables[j.window]
-                used = wanted | {r.name for _, r in j.on} | {self.order.get(j.window), getattr(self.schemas.get(j.window), "time", None)}
-                right = right.select(*[f"`{c}`" for c in right.columns if c in used])
-                df = joins.apply(df, j, right, self.schemas.get(j.window), left, self.order.get(j.window))
+            df = self.joined(rule, plan, df)
             if k < len(plans) - 1:
                 tables[f"_{rule.name}_{k + 1}"] = output.stage_rows(plan, df)
         assert df is not None
-        plan = plans[-1]
-        if rule.conv:
-            compiler, _ = output.context(plan, df)
-            closed = df.where(F.startswith("origin", F.lit("close:")))
-            kept = conv.apply(closed, rule.conv, compiler, ["end"], ["created", *[f"k{i}" for i in range(len(plan.key_names))]])
-            other = df.where(~F.startswith("origin", F.lit("close:")))
-            df = kept if plan.match.close_mode == "and" else kept.unionByName(other, allowMissingColumns=True)
-        return plan, df
+        return plans[-1], self.conversed(rule, plans[-1], df)
 
-    def alerts(self, rule: Rule, final: str | None = "eos") -> DataFrame:
-        plan, df = self.emissions(rule, final)
+    def joined(self, rule: Rule, plan: StagePlan, df: DataFrame) -> DataFrame:
+        """A stage's emissions with its joins; joined windows are pruned to the columns that the rule speaks of."""
+        spoken = [rule.score, rule.entity_id, *[e for _, e in rule.output.args], *[e for chain in rule.conv for op in chain for e in op.args]]
+        wanted = {x.name for e in spoken for x in e.walk() if isinstance(x, Ref)} | {a.name for m in rule.stages for j in m.joins for a, _ in j.on}
+        for j in plan.match.joins:
+            compiler, _ = output.context(plan, df)
+            left = {i: compiler.value(ref).column for i, (ref, _) in enumerate(j.on)}
+            right = self.tables[j.window]
+            used = wanted | {r.name for _, r in j.on} | {self.order.get(j.window), getattr(self.schemas.get(j.window), "time", None)}
+            right = right.select(*[f"`{c}`" for c in right.columns if c in used])
+            df = joins.apply(df, j, right, self.schemas.get(j.window), left, self.order.get(j.window))
+        return df
+
+    def conversed(self, rule: Rule, plan: StagePlan, df: DataFrame) -> DataFrame:
+        """The last stage's emissions after what is done with windows that close together."""
+        if not rule.conv:
+            return df
+        compiler, _ = output.context(plan, df)
+        closed = df.where(F.startswith("origin", F.lit("close:")))
+        kept = conv.apply(closed, rule.conv, compiler, ["end"], ["created", *[f"k{i}" for i in range(len(plan.key_names))]])
+        other = df.where(~F.startswith("origin", F.lit("close:")))
+        return kept if plan.match.close_mode == "and" else kept.unionByName(other, allowMissingColumns=True)
+
+    def told(self, rule: Rule, plan: StagePlan, df: DataFrame) -> DataFrame:
+        """The alerts of the last stage's emissions."""
         target = self.schemas.get(rule.output.target)
         return output.alerts(rule, plan, df if rule.conv else df.drop("end"), target.types if target else None)
 
+    def alerts(self, rule: Rule, final: str | None = "eos") -> DataFrame:
+        return self.told(rule, *self.emissions(rule, final))
+
     def close_key(self, rule: Rule, key: Mapping[str, object], final: str = "flush") -> DataFrame:
         """The alerts that closing the open windows of one key gives, and only those."""
         binds = {b.window for b in rule.binds}

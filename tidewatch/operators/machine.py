@@ -30,6 +30,7 @@ class Tally:
     low_text: str | None = None
     high_text: str | None = None
     seen: set[str] | None = None
+    held: int = 0  # an estimate of the bytes of ``seen``
 
     def add(self, b: Branch, number: float | None, words: str | None) -> bool:
         """Takes a value in; false if it is skipped altogether."""
@@ -40,6 +41,7 @@ class Tally:
             if words in self.seen:
                 return False
             self.seen.add(words)
+            self.held += len(words) + 48
         self.n += 1
         if number is not None and not math.isnan(number):
             self.numbers += 1

@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.compile import constant, truth
 from ..lang.ast import Branch, Limits
@@ -271,108 +272,165 @@ def _by_key(plan: StagePlan, rows: Iterator[tuple], names: dict[str, int], n_key
         yield from _finish(machine, key[:-1], w, wm, final)
 
 
-def _bytes(plan: StagePlan, w: Instance) -> int:
-    """An estimate of a window's state."""
-    tallies = [*w.tallies.values(), *w.close.values()]
-    return 128 + 80 * len(plan.branches) + sum(len(s) + 48 for t in tallies for s in (t.seen or ()))
-
-
 def memory(text: str) -> int:
     """Bytes of a size such as 50MB."""
     digits = text.rstrip("KMGBkmgb ")
     return int(float(digits) * {"": 1, "B": 1, "KB": 1 << 10, "K": 1 << 10, "MB": 1 << 20, "M": 1 << 20, "GB": 1 << 30, "G": 1 << 30}[text[len(digits) :].strip().upper()])
 
 
-def _all_keys(plan: StagePlan, rows: Iterator[tuple], names: dict[str, int], n_keys: int, final: str | None) -> Emissions:
-    """The same with limits on all windows together; those that end are closed in order before each event."""
-    machine, limits = Machine(plan), plan.limits or Limits()
-    most_bytes = memory(limits.max_memory) if limits.max_memory else None
-    open_: dict[tuple, Instance] = {}
-    ends: list[tuple[int, int, str, tuple]] = []
-    sizes: dict[tuple, int] = {}
-    wm, failed = 0, False
-
-    def due(now: int) -> Emissions:
-        while ends and ends[0][0] <= now:
-            _, created, _, key = heapq.heappop(ends)
-            w = open_.get(key)
-            if w is None or w.created != created or not machine.expired(w, now):
-                if w is not None and machine.kind != "fixed":
-                    heapq.heappush(ends, (max(machine.end(w), now + 1), w.created, str(key), key))
+class Fleet:
+    """The open windows of all keys, for limits that count them together.  Those that end are closed in order before each event.
+
+    Ends and ages are kept in heaps and sizes in a running total, so an event costs the logarithm of the open windows.
+    """
+
+    def __init__(self, plan: StagePlan) -> None:
+        self.plan, self.machine, self.limits = plan, Machine(plan), plan.limits or Limits()
+        self.most_bytes = memory(self.limits.max_memory) if self.limits.max_memory else None
+        self.empty = 128 + 80 * len(plan.branches)
+        self.open: dict[tuple, Instance] = {}
+        self.ends: list[tuple[int, int, str, tuple]] = []
+        self.ages: list[tuple[int, str, tuple]] = []
+        self.sizes: dict[tuple, int] = {}
+        self.total, self.failed = 0, False
+
+    def plain(self) -> dict[str, Any]:
+        """What is to be kept, as built-in types."""
+        return {"open": {k: w.plain() for k, w in self.open.items()}, "failed": self.failed}
+
+    def restore(self, held: dict[str, Any]) -> None:
+        self.failed = held["failed"]
+        for key, w in held["open"].items():
+            self.open[key] = Instance.of_plain(w)
+            self.noted(key, self.open[key])
+            self.sized(key)
+
+    def noted(self, key: tuple, w: Instance) -> None:
+        heapq.heappush(self.ends, (self.machine.end(w), w.created, str(key), key))
+        heapq.heappush(self.ages, (w.created, str(key), key))
+
+    def sized(self, key: tuple) -> None:
+        """Brings a window's estimated size up to date."""
+        w = self.open[key]
+        now = self.empty + sum(t.held for t in (*w.tallies.values(), *w.close.values()))
+        self.total += now - self.sizes.get(key, 0)
+        self.sizes[key] = now
+
+    def gone(self, key: tuple) -> None:
+        del self.open[key]
+        self.total -= self.sizes.pop(key, 0)
+
+    def drop_oldest(self) -> None:
+        while True:
+            created, _, key = heapq.heappop(self.ages)
+            if key in self.open and self.open[key].created == created:
+                return self.gone(key)
+
+    def due(self, now: int) -> Emissions:
+        """Closes what ends by ``now``."""
+        while self.ends and self.ends[0][0] <= now:
+            _, created, _, key = heapq.heappop(self.ends)
+            w = self.open.get(key)
+            if w is None or w.created != created or not self.machine.expired(w, now):
+                if w is not None and self.machine.kind != "fixed":
+                    heapq.heappush(self.ends, (max(self.machine.end(w), now + 1), w.created, str(key), key))
                 continue
-            e = machine.close(w, "timeout", machine.end(w))
-            del open_[key]
-            sizes.pop(key, None)
+            e = self.machine.close(w, "timeout", self.machine.end(w))
+            self.gone(key)
             if e:
                 yield key, e
 
-    for row in rows:
-        ts, wm = row[names["_us"]], row[names["_wm"]]
-        yield from due(ts)
-        if failed:
-            continue
-        key = tuple(row[names[f"k{i}"]] for i in range(n_keys))
-        for offer in offers_of(plan, row, names):
-            new = key not in open_
-            if new and limits.max_instances is not None and len(open_) >= limits.max_instances:
-                if limits.on_exceed == "fail_rule":
-                    failed = True
-                    break
-                if limits.on_exceed != "drop_oldest":
-                    continue
-                oldest = min(open_, key=lambda k: (open_[k].created, str(k)))
-                del open_[oldest]
-                sizes.pop(oldest, None)
-            if most_bytes is not None and sum(sizes.values()) + (128 + 80 * len(plan.branches) if new else 0) >= most_bytes:
-                if limits.on_exceed == "fail_rule":
-                    failed = True
-                    break
-                if limits.on_exceed != "drop_oldest":
-                    continue
-                while sizes and sum(sizes.values()) + 128 + 80 * len(plan.branches) >= most_bytes:
-                    oldest = min(open_, key=lambda k: (open_[k].created, str(k)))
-                    del open_[oldest]
-                    sizes.pop(oldest, None)
-            w = open_.get(key)
+    def room(self, new: bool) -> bool:
+        """Whether an event may be looked at, after what the limits ask for is done."""
+        act = self.limits.on_exceed
+        if new and self.limits.max_instances is not None and len(self.open) >= self.limits.max_instances:
+            if act != "drop_oldest":
+                self.failed |= act == "fail_rule"
+                return False
+            self.drop_oldest()
+        if self.most_bytes is not None and self.total + (self.empty if new else 0) >= self.most_bytes:
+            if act != "drop_oldest":
+                self.failed |= act == "fail_rule"
+                return False
+            while self.open and self.total + self.empty >= self.most_bytes:
+                self.drop_oldest()
+        return True
+
+    def offer(self, key: tuple, ts: int, offers: list[Offer]) -> Emissions:
+        for offer in offers:
+            if self.failed:
+                return
+            if not self.room(key not in self.open):
+                continue
+            w = self.open.get(key)
             if w is None:
-                w = open_[key] = machine.open(ts)
-                heapq.heappush(ends, (machine.end(w), w.created, str(key), key))
-            e = machine.offered(w, ts, offer)
-            if most_bytes is not None:
-                sizes[key] = _bytes(plan, w)
+                w = self.open[key] = self.machine.open(ts)
+                self.noted(key, w)
+            e = self.machine.offered(w, ts, offer)
+            if self.most_bytes is not None:
+                self.sized(key)
             if e:
-                if machine.kind == "sliding":
-                    heapq.heappush(ends, (machine.end(w), w.created, str(key), key))
+                if self.machine.kind == "sliding":
+                    self.noted(key, w)
                 yield key, e
-    for key, w in sorted(open_.items(), key=lambda x: (x[1].created, str(x[0]))):
-        yield from _finish(machine, key, w, wm, final)
 
+    def finish(self, now: int, final: str | None) -> Emissions:
+        for key, w in sorted(self.open.items(), key=lambda x: (x[1].created, str(x[0]))):
+            yield from _finish(self.machine, key, w, now, final)
 
-def throttled(emissions: DataFrame, limits: Limits) -> DataFrame:
-    """At most so many emissions in a span that begins with the first one after the span before; of one rule, in order of time.
 
-    Only emissions pass through the one partition, not events.  With fail_rule nothing comes after the first that is too many.
+def _all_keys(plan: StagePlan, rows: Iterator[tuple], names: dict[str, int], n_keys: int, final: str | None) -> Emissions:
+    """The same with limits on all windows together."""
+    fleet, wm = Fleet(plan), 0
+    for row in rows:
+        ts, wm = row[names["_us"]], row[names["_wm"]]
+        yield from fleet.due(ts)
+        if not fleet.failed:
+            yield from fleet.offer(tuple(row[names[f"k{i}"]] for i in range(n_keys)), ts, offers_of(plan, row, names))
+    yield from fleet.finish(wm, final)
+
+
+Throttle = tuple[int, int, bool]
+UNTHROTTLED: Throttle = (-(1 << 62), 0, False)
+
+
+def marked(emissions: DataFrame, limits: Limits, state: Throttle = UNTHROTTLED) -> DataFrame:
+    """``emissions`` in order of time, each with ``_keep``, and _start, _count and _failed after it; ``state`` is that before the first.
+
+    At most so many are kept in a span that begins with the first one after the span before.  Only emissions pass through the one
+    partition, not events.  With fail_rule nothing is kept after the first that is too many.
     """
-    rate = limits.throttle()
-    if rate is None:
-        return emissions
-    most, span = rate[0], round(rate[1] * 1_000_000)
+    most, span = limits.throttle()[0], round(limits.throttle()[1] * 1_000_000)
     stop = limits.on_exceed == "fail_rule"
     keys = [c for c in emissions.columns if c.startswith("k") and c[1:].isdigit()]
     rank = F.when(F.col("origin") == "event", 1).otherwise(0)
     ordered = emissions.withColumn("_us", F.unix_micros("fired")).repartition(1).sortWithinPartitions("_us", rank, "created", *keys)
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, count, failed = -(1 << 62), 0, False
+        (start, count, failed), at = state, 0
         for p in parts:
-            keep = []
+            rows = []
             for us in p["_us"].tolist():
                 if us - start >= span:
                     start, count = us, 0
                 full = count >= most
                 failed |= stop and full
-                keep.append(not full and not failed)
                 count += not full
-            yield p[keep].drop(columns="_us")
+                rows.append((not full and not failed, start, count, failed, at))
+                at += 1
+            yield p.drop(columns="_us").assign(**{c: [r[i] for r in rows] for i, c in enumerate(("_keep", "_start", "_count", "_failed", "_at"))})
+
+    added = "_keep boolean, _start bigint, _count bigint, _failed boolean, _at bigint"
+    return ordered.mapInPandas(work, T.StructType([*emissions.schema.fields, *T.StructType.fromDDL(added).fields]))
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows of ``marked`` that pass."""
+    return rows.where("_keep").drop("_keep", "_start", "_count", "_failed", "_at")
 
-    return ordered.mapInPandas(work, emissions.schema)
+
+def throttled(emissions: DataFrame, limits: Limits) -> DataFrame:
+    """The emissions of one rule that its ``max_throttle`` lets pass."""
+    if limits.throttle() is None:
+        return emissions
+    return kept(marked(emissions, limits))

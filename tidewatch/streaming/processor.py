@@ -1,121 +1,295 @@
 """Rules over streams: the same matching as in batch, with the open windows in Spark's state store.
 
-Bound events are dealt by key to a stateful processor; each key keeps its open windows (one for anchored and
-session windows, one for each bucket of fixed ones) as bytes, and a timer at the end of each closes it when the watermark
-gets there.  Events of a batch are sorted by time; what is older than the watermark was dropped before.
+Bound events are dealt by key to a stateful processor.  Each key keeps its open windows (one for anchored and
+session windows, one for each bucket of fixed ones) in a map of the state store, of which a batch reads only those that its events or
+timers touch, and a timer at the end of each closes it when the watermark gets there.  Events of a batch are sorted by time; what is
+older than the watermark was dropped before.  Rules with ``max_instances`` or ``max_memory`` count the windows of all keys, so one
+processor holds them all, as in batch.
+
+What needs the emissions of a batch together (``conv``, ``max_throttle``, as-of joins, stages after the first) is done by
+``write_batches`` on each micro-batch: ``conv`` needs fixed windows, and those that end together close together, when the watermark passes their end.  ``stream_alerts``
+refuses such rules.  ``drain`` closes what a stopped stream has left open.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..engine import Engine
 from ..lang.ast import Rule
-from ..operators import bind, joins, match, output
+from ..lang.tokens import RuleError
+from ..operators import bind, match, output
 from ..operators.machine import Instance, Machine
 from ..plans.plan import StagePlan, stage_plans
 
+WINDOWS = "windows"
 
-class Matcher(StatefulProcessor):
-    """One key's windows."""
 
-    def __init__(self, plan: StagePlan, columns: list[str], out: list[str], n_keys: int) -> None:
-        self.plan, self.columns, self.out, self.n_keys = plan, columns, out, n_keys
+def _millis(us: int) -> int:
+    """The first millisecond that is not before a time in microseconds."""
+    return -(-us // 1000)
+
+
+class _Processor(StatefulProcessor):
+    """Reads the rows of a batch in order and writes emissions."""
+
+    def __init__(self, plan: StagePlan, columns: list[str], out: list[str]) -> None:
+        self.plan, self.columns, self.out = plan, columns, out
+        self.names = {c: i for i, c in enumerate(columns)}
+
+    def ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        events = pd.concat(list(rows))[self.columns].sort_values(["us", "seq", "grp"])
+        return zip(*[events[c].astype(object).where(events[c].notna(), None).tolist() for c in self.columns])
+
+    def rows(self, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(found, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+class Matcher(_Processor):
+    """One key's windows, by their beginning (0 where there is one at most)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.machine = Machine(self.plan)
-        self.state = handle.getValueState("windows", "data binary")
-
-    def load(self) -> dict[int, Instance]:
-        held = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {}
-        return {at: Instance.of_plain(w) for at, w in held.items()}
-
-    def save(self, windows: dict[int, Instance]) -> None:
-        if windows:
-            self.state.update((pickle.dumps({at: w.plain() for at, w in windows.items()}),))
-        elif self.state.exists():
-            self.state.clear()
-        for t in [t for t in self.handle.listTimers()]:
-            self.handle.deleteTimer(t)
-        for end in {-(-self.machine.end(w) // 1000) for w in windows.values()}:
-            self.handle.registerTimer(end)
+        self.state = handle.getMapState(WINDOWS, "at bigint", "data binary")
 
-    def rows(self, found: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(found, columns=self.out)
+    def load(self, at: int) -> Instance | None:
+        return Instance.of_plain(pickle.loads(bytes(self.state.getValue((at,))[0]))) if self.state.containsKey((at,)) else None
 
-    def close_due(self, key: tuple, windows: dict[int, Instance], now: int, found: list[tuple]) -> None:
-        for at, w in sorted(windows.items()):
-            if self.machine.expired(w, now):
-                e = self.machine.close(w, "timeout", self.machine.end(w))
-                del windows[at]
-                if e:
-                    found.append(match.emission_row(self.plan, key, e))
+    def save(self, at: int, w: Instance | None, before: int | None) -> None:
+        """Keeps a window, or forgets it; ``before`` is the timer that it had, which moves if its end has."""
+        due = None if w is None else _millis(self.machine.end(w))
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if w is None:
+            if before is not None:
+                self.state.removeKey((at,))
+            return
+        self.state.updateValue((at,), (pickle.dumps(w.plain()),))
+        if before != due:
+            self.handle.registerTimer(due)
+
+    def closed(self, key: tuple, w: Instance, found: list[tuple]) -> None:
+        e = self.machine.close(w, "timeout", self.machine.end(w))
+        if e:
+            found.append(match.emission_row(self.plan, key, e))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        windows, found, key = self.load(), [], tuple(key)
-        names = {c: i for i, c in enumerate(self.columns)}
-        events = pd.concat(list(rows))[self.columns].sort_values(["us", "seq", "grp"])
-        for row in zip(*[events[c].astype(object).where(events[c].notna(), None).tolist() for c in self.columns]):
-            ts = row[names["us"]]
-            if self.machine.kind != "fixed":  # buckets close by the watermark, as others' events may still come for them
-                self.close_due(key, windows, ts, found)
-            at = ts - ts % self.machine.length if self.machine.kind == "fixed" else 0
-            for offer in match.offers_of(self.plan, row, names):
-                w = windows.get(at)
+        found, key, fixed = [], tuple(key), self.machine.kind == "fixed"
+        windows: dict[int, Instance | None] = {}
+        timers: dict[int, int | None] = {}
+        for row in self.ordered(rows):
+            ts = row[self.names["us"]]
+            at = ts - ts % self.machine.length if fixed else 0
+            if at not in windows:
+                w = windows[at] = self.load(at)
+                timers[at] = None if w is None else _millis(self.machine.end(w))
+            w = windows[at]
+            if w is not None and not fixed and self.machine.expired(w, ts):  # buckets close by the watermark, as others' events may still come for them
+                self.closed(key, w, found)
+                w = windows[at] = None
+            for offer in match.offers_of(self.plan, row, self.names):
                 if w is None:
                     w = windows[at] = self.machine.open(ts)
                 e = self.machine.offered(w, ts, offer)
                 if e:
                     found.append(match.emission_row(self.plan, key, e))
-        self.save(windows)
+        for at, w in windows.items():
+            self.save(at, w, timers[at])
         yield from self.rows(found)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        windows, found = self.load(), []
-        self.close_due(tuple(key), windows, expiredTimerInfo.getExpiryTimeInMs() * 1000, found)
-        self.save(windows)
+        found, now = [], expiredTimerInfo.getExpiryTimeInMs()
+        at = now * 1000 - self.machine.length if self.machine.kind == "fixed" else 0
+        w = self.load(at)
+        if w is not None and _millis(self.machine.end(w)) == now:
+            self.closed(tuple(key), w, found)
+            self.state.removeKey((at,))
         yield from self.rows(found)
 
-    def close(self) -> None:
-        pass
 
+class Crew(_Processor):
+    """All keys' windows together; the limits bound what is held."""
 
-def stream_alerts(engine: Engine, rule: Rule, delay: str = "0 seconds") -> DataFrame:
-    """The alerts of a one-stage rule whose bound windows are streaming DataFrames (with a timestamp time field).
+    def __init__(self, plan: StagePlan, columns: list[str], out: list[str], n_keys: int) -> None:
+        super().__init__(plan, columns, out)
+        self.n_keys = n_keys
 
-    Joined windows must be tables.  The session needs the RocksDB state store.
-    """
-    (plan,) = stage_plans(rule)
-    events = bind.bind(plan, engine.tables, engine.schemas, engine.order).withWatermark("ts", delay)
-    n = len(plan.key_names)
-    keys = [f"k{i}" for i in range(n)] or ["everything"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(WINDOWS, "data binary")
+
+    def load(self) -> match.Fleet:
+        fleet = match.Fleet(self.plan)
+        if self.state.exists():
+            fleet.restore(pickle.loads(bytes(self.state.get()[0])))
+        return fleet
+
+    def save(self, fleet: match.Fleet) -> None:
+        self.state.update((pickle.dumps(fleet.plain()),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if fleet.open:
+            self.handle.registerTimer(_millis(min(fleet.machine.end(w) for w in fleet.open.values())))
+
+    def emitted(self, got: Iterator[tuple[tuple, Any]]) -> list[tuple]:
+        return [(0, *match.emission_row(self.plan, key, e)) for key, e in got]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fleet, found = self.load(), []
+        for row in self.ordered(rows):
+            ts = row[self.names["us"]]
+            found += self.emitted(fleet.due(ts))
+            if not fleet.failed:
+                found += self.emitted(fleet.offer(tuple(row[self.names[f"k{i}"]] for i in range(self.n_keys)), ts, match.offers_of(self.plan, row, self.names)))
+        self.save(fleet)
+        yield from self.rows(found)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        fleet = self.load()
+        found = self.emitted(fleet.due(expiredTimerInfo.getExpiryTimeInMs() * 1000))
+        self.save(fleet)
+        yield from self.rows(found)
+
+
+def _all_together(plan: StagePlan) -> bool:
+    return plan.strategy == "global_fold"
+
+
+def _shape(plan: StagePlan, events: DataFrame) -> tuple[list[str], str]:
+    """The columns that a processor is dealt by, and the schema of what it yields."""
     types = dict(events.dtypes)
+    keys = [f"k{i}" for i in range(len(plan.key_names))]
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], match.BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(match.need_types(plan, events))]])
+    alone = not keys or _all_together(plan)
+    return (["everything"], f"everything int, {schema}") if alone else (keys, schema)
+
+
+def emissions(engine: Engine, plan: StagePlan, tables: Mapping[str, DataFrame], delay: str) -> DataFrame:
+    """The stream of a stage's emissions."""
+    events = bind.bind(plan, tables, engine.schemas, engine.order).withWatermark("ts", delay)
+    keys, schema = _shape(plan, events)
     # Names must not begin with an underscore: Spark gives such columns others on the way to Python.
     stamped = events.withColumn("us", F.unix_micros("ts")).withColumn("everything", F.lit(0))
     columns = [c for c in stamped.columns if c not in ("ts", "everything")]
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys if k in types], match.BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(match.need_types(plan, events))]])
     out = [c.split(" ")[0] for c in schema.split(", ")]
-    if not n:
-        schema, out = f"everything int, {schema}", ["everything", *out]
-    processor = Matcher(plan, columns, out, n)
+    processor = Crew(plan, columns, out, len(plan.key_names)) if _all_together(plan) else Matcher(plan, columns, out)
     df = stamped.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
-    df = df.drop("everything")
-    for j in plan.match.joins:
-        if j.mode != "snapshot":
-            raise ValueError("as-of joins of a stream need its emissions in a table: use write_batches")
-        compiler, _ = output.context(plan, df)
-        left = {i: compiler.value(ref).column for i, (ref, _) in enumerate(j.on)}
-        df = joins.apply(df, j, engine.tables[j.window], engine.schemas.get(j.window), left, engine.order.get(j.window))
-    target = engine.schemas.get(rule.output.target)
-    return output.alerts(rule, plan, df.drop("end"), target.types if target else None)
+    return df.drop("everything")
+
+
+def stream_alerts(engine: Engine, rule: Rule, delay: str = "0 seconds") -> DataFrame:
+    """The alerts of a rule whose bound windows are streaming DataFrames (with a timestamp time field).
+
+    Joined windows must be tables.  The session needs the RocksDB state store.  Rules that need the emissions of a batch together are refused.
+    """
+    plans = stage_plans(rule)
+    asks = [what for what, there in (
+        ("conv", rule.conv), ("max_throttle", rule.limits and rule.limits.max_throttle), ("stages after the first", len(plans) > 1), ("as-of joins", any(j.mode != "snapshot" for p in plans for j in p.match.joins)),
+    ) if there]
+    if asks:
+        raise RuleError(f"rule {rule.name}: a stream of single alerts can't do {' and '.join(asks)}: use write_batches")
+    (plan,) = plans
+    return engine.told(rule, plan, engine.joined(rule, plan, emissions(engine, plan, engine.tables, delay)))
+
+
+def _throttled(df: DataFrame, plan: StagePlan, folder: str, batch: int) -> DataFrame:
+    """What ``max_throttle`` lets pass of a batch.  The state after each batch is a small table named by its number, so a batch that is done again begins as it did."""
+    spark = df.sparkSession
+    state = match.UNTHROTTLED
+    if batch:
+        r = spark.read.parquet(f"{folder}/throttle/{batch - 1}").first()
+        state = (r["_start"], r["_count"], r["_failed"])
+    rows = match.marked(df, plan.limits, state)
+    last = rows.agg(F.max_by(F.struct("_start", "_count", "_failed"), "_at").alias("s")).first()["s"]
+    spark.createDataFrame([tuple(last or state)], "_start bigint, _count bigint, _failed boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/throttle/{batch}")
+    return match.kept(rows)
+
+
+def write_batches(engine: Engine, rule: Rule, write: Callable[[DataFrame, int], None], folder: str, delay: str = "0 seconds", trigger: Mapping[str, Any] | None = None) -> list[StreamingQuery]:
+    """Runs any rule over streams: ``write`` gets the alerts of each micro-batch and its number, which is the same if a batch is done again.
+
+    ``folder`` is shared by driver and executors, and holds the checkpoints of the stages, the rows that go from one to the next and the state of the throttle.
+    Without a ``trigger`` each stage reads what is there, one after another, and the call returns when all are done; with one
+    (such as {"processingTime": "10 seconds"}) all are started and keep running.  A stage's watermark allows for the length of the windows before it.
+    """
+    spark = next(iter(engine.tables.values())).sparkSession
+    plans, tables, queries = stage_plans(rule), dict(engine.tables), []
+    for k, plan in enumerate(plans):
+        last = k == len(plans) - 1
+        found = emissions(engine, plan, tables, delay)
+
+        def each(df: DataFrame, batch: int, k: int = k, plan: StagePlan = plan, last: bool = last) -> None:
+            kept = df.persist()
+            try:
+                if plan.limits and plan.limits.max_throttle:
+                    kept = _throttled(df, plan, folder, batch)
+                rows = engine.joined(rule, plan, kept)
+                if last:
+                    write(engine.told(rule, plan, engine.conversed(rule, plan, rows)), batch)
+                else:
+                    output.stage_rows(plan, rows).write.mode("overwrite").parquet(f"{folder}/stage{k}/batch={batch}")
+            finally:
+                kept.unpersist()
+                df.unpersist()
+
+        started = found.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint{k}").trigger(**(trigger or {"availableNow": True})).start()
+        queries.append(started)
+        if trigger is None:
+            started.awaitTermination()
+        if not last:
+            shape = output.stage_rows(plan, engine.joined(rule, plan, found)).schema
+            spark.createDataFrame([], shape).write.mode("ignore").parquet(f"{folder}/stage{k}/batch=-1")
+            tables[f"_{rule.name}_{k + 1}"] = spark.readStream.schema(shape).option("basePath", f"{folder}/stage{k}").parquet(f"{folder}/stage{k}")
+            delay = f"{delay} {math.ceil(plan.match.window.seconds)} seconds"
+    return queries
+
+
+def drain(engine: Engine, rule: Rule, checkpoint: str, final: str = "flush") -> DataFrame:
+    """The alerts of closing all windows that a stopped stream of a one-stage rule has left open in the state under ``checkpoint``.
+
+    ``engine`` is that of the stream.  Windows close at the latest event's time of those that are open, by timeout if their end has come by then.
+    """
+    (plan,) = stage_plans(rule)
+    spark = next(iter(engine.tables.values())).sparkSession
+    keys, schema = _shape(plan, bind.bind(plan, engine.tables, engine.schemas, engine.order))
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", WINDOWS).load()
+    fleet = _all_together(plan)
+    held = state.select(F.col("key").alias("key"), F.col("value.data" if fleet else "user_map_value.data").alias("data"))
+    out = [c.split(" ")[0] for c in schema.split(", ") if not c.startswith("everything")]
+    schema = ", ".join(c for c in schema.split(", ") if not c.startswith("everything"))
+    flat = held.select(*[F.col(f"key.{k}").alias(k) for k in keys], "data")
+
+    def windows(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, dict[str, Any]]]:
+        for p in parts:
+            for row in zip(*[p[c].astype(object).tolist() for c in p.columns]):
+                got = pickle.loads(bytes(row[-1]))
+                yield from got["open"].items() if fleet else [((tuple(row[:-1]) if keys != ["everything"] else ()), got)]
+
+    def latest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"last": [w["last"] for _, w in windows(parts)]}, dtype="int64")
+
+    now = flat.mapInPandas(latest, "last bigint").agg(F.max("last")).first()[0]
+
+    def shut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, found = Machine(plan), []
+        for key, w in windows(parts):
+            found += [match.emission_row(plan, key, e) for key, e in match._finish(machine, key, Instance.of_plain(w), now, final)]
+        yield pd.DataFrame(found, columns=out)
+
+    df = flat.mapInPandas(shut, schema)
+    return engine.told(rule, plan, engine.conversed(rule, plan, engine.joined(rule, plan, df)))
 
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
