@@ -134,6 +134,26 @@ def test_sinks(spark, tmp_path):
         load_config(CONFIG.replace('allow_override = ["path"]', "allow_override = []"))
 
 
+def test_sinks_make_alerts_once(spark, tmp_path):
+    """However many groups there are, the rows are made once, by all their tasks; a batch that is written again replaces itself."""
+    made = spark.sparkContext.accumulator(0)
+
+    def work(parts):
+        for p in parts:
+            made.add(len(p))
+            yield p
+
+    df = spark.range(90, numPartitions=5).selectExpr("id AS n", "concat('t', id % 3) AS yield_target").mapInPandas(work, "n bigint, yield_target string")
+    routes = Routes([("a", ["t0"]), ("b", ["t*"]), ("c", ["t2"])], "rest", "bad")
+    sinks = {n: Sink(n, str(tmp_path / n)) for n in ("a", "b", "c", "rest", "bad")} | {"c": Sink("c", "nowhere://x")}
+    assert routes.write(df, sinks, batch=4) == ["c"] and made.value == 90
+    assert routes.write(df, sinks, batch=4) == ["c"]
+    count = lambda n: spark.read.json(str(tmp_path / n)).count()
+    assert (count("a"), count("b"), count("bad")) == (30, 90, 30)
+    plan = lambda sink: sink.rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan(Sink("x")) and "Exchange" not in plan(Sink("x")) and "REPARTITION_BY_NUM" in plan(Sink("x", parallel=2))
+
+
 def test_stream_to_sinks(spark, sf, tmp_path):
     table = engine(spark, sf)
     rule = table.rules('rule r { events { e : events && event_type == "error" } match<user_id:1d> { on event { e | count >= 1; } } -> score(1) entity(user, user_id) yield alerts (n = 1) }')[0]

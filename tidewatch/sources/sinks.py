@@ -7,6 +7,7 @@ import tomllib
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +23,25 @@ def matches(pattern: str, name: str) -> bool:
 
 @dataclass
 class Sink:
-    """Where a group's alerts are written."""
+    """Where a group's alerts are written, by as many tasks as they were made by, or dealt out to ``parallel`` ones."""
 
     name: str
     path: str = ""
     format: str = "json"
     tags: dict[str, str] = field(default_factory=dict)
     required: bool = False
-    parallel: int = 1
+    parallel: int | None = None
 
-    def write(self, df: DataFrame) -> None:
-        out = df
+    def rows(self, df: DataFrame) -> DataFrame:
+        """What is written.  The rows are dealt out by an exchange, so that what makes them keeps all its tasks."""
         if self.tags:
-            out = out.withColumn("tags", F.array(*[F.lit(f"{k}:{v}") for k, v in sorted(self.tags.items())]))
-        out.coalesce(self.parallel).write.mode("append").format(self.format).save(self.path)
+            df = df.withColumn("tags", F.array(*[F.lit(f"{k}:{v}") for k, v in sorted(self.tags.items())]))
+        return df if self.parallel is None else df.repartition(self.parallel)
+
+    def write(self, df: DataFrame, batch: int | None = None) -> None:
+        """Adds to what is there; a numbered ``batch`` has a folder of its own, and takes the place of itself if it is written again."""
+        path, mode = (self.path, "append") if batch is None else (f"{self.path}/batch={batch}", "overwrite")
+        self.rows(df).write.mode(mode).format(self.format).save(path)
 
 
 @dataclass
@@ -58,19 +64,25 @@ class Routes:
         found = F.filter(F.array(*names) if names else F.array().cast("array<string>"), lambda x: x.isNotNull())
         return df.withColumn("sink", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(self.default))))).where(F.col("sink").isNotNull())
 
-    def write(self, df: DataFrame, sinks: Mapping[str, Sink]) -> list[str]:
-        """Writes each group's alerts; what a sink refuses goes to the error group.  The names of sinks that failed come back."""
-        tagged = self.tagged(df)
+    def write(self, df: DataFrame, sinks: Mapping[str, Sink], batch: int | None = None) -> list[str]:
+        """Writes each group's alerts, which are made once for all groups; what sinks refuse goes to the error group, once.  The names of sinks that failed come back.
+
+        A sink's files appear when all its tasks are done, so one that fails leaves nothing behind.
+        """
+        tagged = self.tagged(df).persist(StorageLevel.MEMORY_AND_DISK)
         failed = []
-        for name in dict.fromkeys([*[n for n, _ in self.groups], *([self.default] if self.default else [])]):
-            own = tagged.where(F.col("sink") == name).drop("sink")
-            try:
-                sinks[name].write(own)
-            except Exception:
-                failed.append(name)
-                if self.error is None or self.error not in sinks:
-                    raise
-                sinks[self.error].write(own)
+        try:
+            for name in dict.fromkeys([*[n for n, _ in self.groups], *([self.default] if self.default else [])]):
+                try:
+                    sinks[name].write(tagged.where(F.col("sink") == name).drop("sink"), batch)
+                except Exception:
+                    failed.append(name)
+                    if self.error is None or self.error not in sinks:
+                        raise
+            if failed:
+                sinks[self.error].write(tagged.where(F.col("sink").isin(failed)).drop("sink"), batch)
+        finally:
+            tagged.unpersist()
         return failed
 
 
@@ -93,7 +105,8 @@ def load_config(text: str) -> tuple[Routes, dict[str, Sink]]:
                 raise ValueError(f"sink {name}: {k} can't be overridden")
             params[k] = v
         merged = tags(defaults) | tags(base) | tags(entry)
-        return Sink(name, params.get("path", ""), params.get("format", "json"), merged, bool(entry.get("required", False)), min(max(int(entry.get("parallel", 1)), 1), 10))
+        parallel = min(max(int(entry["parallel"]), 1), 10) if "parallel" in entry else None
+        return Sink(name, params.get("path", ""), params.get("format", "json"), merged, bool(entry.get("required", False)), parallel)
 
     for r in spec.get("route", []):
         groups.append((r["name"], list(r["windows"])))
@@ -110,5 +123,5 @@ def uncovered(routes: Routes, targets: Iterable[str]) -> list[str]:
 
 
 def write_stream(alerts: DataFrame, routes: Routes, sinks: Mapping[str, Sink], checkpoint: str):  # noqa: ANN201
-    """Starts writing a stream of alerts, a batch at a time, as far as its source has come."""
-    return alerts.writeStream.foreachBatch(lambda df, _: routes.write(df, sinks) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Starts writing a stream of alerts, a batch at a time, as far as its source has come; a batch that is done again replaces itself."""
+    return alerts.writeStream.foreachBatch(lambda df, batch: routes.write(df, sinks, batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
