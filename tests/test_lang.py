@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidewatch.lang.checker import problems
+from tidewatch.lang.checker import problems, version_changes
 from tidewatch.lang.explain import explain, lineage, show
 from tidewatch.lang.layout import layout
 from tidewatch.lang.lint import hints
@@ -68,13 +68,28 @@ def test_bad_schemas(bad):
     ("T6", {"match": 'match<k:5m> { on event { e.f | max >= "x"; } }'}), ("T5", {"match": "match<k:5m> { on event { e.f | max >= k; } }"}), ("T7", {"match": "match<k:5m> { on event { e && count(e) > 1 | count >= 1; } }"}),
     ("T8", {"bind": 'e : a && close_reason == "eos"'}), ("T16", {"bind": "e : a && s == 1"}), ("T20", {"out": "k = nothing(k)"}), ("T21", {"out": "s = substr(s)"}), ("T22", {"out": "s = substr(k, 1)"}), ("T23", {"out": 's = replace(e.s, "(", "")'}), ("T23", {"out": 's = replace(e.s, "(?=x)", "")'}),
     ("Y1", {"tail": ""}), ("Y4", {"out": "zz = 1"}), ("Y5", {"out": "s = k"}), ("C1", {"tail": "conv { top(1); }"}), ("L1", {"tail": 'limits { on_exceed = "never"; }'}), ("L2", {"tail": 'limits { max_throttle = "many"; }'}), ("S1", {"score": "s"}),
+    ("T17", {"bind": "e : a && o.got(k)"}), ("T17", {"bind": "e : a && o.has()"}), ("T18", {"bind": 'e : a && o.has(k, "z")'}), ("T18", {"bind": "e : a && o.has(k, s)"}), ("T24", {"out": "k = count(e.s)"}), ("T25", {"out": "k = sum(e)"}), ("T26", {"out": "k = avg(e.s)"}),
+    ("T26", {"out": "k = max(e.l)"}), ("T27", {"out": "k = percentile(e.f, 101)"}), ("T27", {"out": "k = percentile(e.f)"}), ("R5", {"out": "k = sum(e.zz)"}), ("T28", {"bind": "e : a && baseline(f) > 1"}), ("T28", {"bind": "e : a && baseline(s, 5m) > 1"}),
+    ("T28", {"bind": "e : a && baseline(f, 0 - 1) > 1"}), ("T29", {"bind": 'e : a && baseline(f, 5m, "mode") > 1'}), ("T30", {"out": "s = coalesce(s, k)"}), ("T31", {"out": 's = replace(s, concat("a", s), "")'}), ("Y8", {"out": "k = k", "tail": ""}),
+    ("K4", {"match": "match<k:5m> { key { k = k; } on event { e | count >= 1; } }"}), ("K5", {"match": "match<k:5m> { key { k = q.k; } on event { e | count >= 1; } }"}), ("L2", {"tail": 'limits { max_throttle = "0/min"; }'}), ("L4", {"tail": 'limits { max_memory = "50 bananas"; }'}),
+    ("L5", {"tail": 'limits { max_memory = "0MB"; }'}), ("P1", {"match": "match<k:5m> { on event { e | count >= 1; e | count >= 2; } } |> match<k:9m> { on event { _in | count >= 1; } }", "out": "k = 1"}),
 ])
 def test_checks(code, given):
-    r = rule(**given)
+    if code == "Y8":
+        r = parse_rules("rule r { events { e : a } match<k:5m> { on event { e | count >= 1; } } -> score(1) entity(user, k) yield o@v2 (k = k) }").rules[0]
+    else:
+        r = rule(**given)
     schemas = {"a": S["a"]} if code == "Y1" else S
     assert any(p.startswith(code + ":") for p in problems(r, schemas)), problems(r, schemas)
 
 
+def test_entities_and_versions():
+    bad = parse_rules("rule r { events { e : a } match<k:5m> { on event { e | count >= 1; } } -> score(1) entity(user, collect_list(e.s)) yield o (k = k) }").rules[0]
+    assert any(p.startswith("S2") for p in problems(bad, S))
+    text = "".join(f'rule r{i} {{ meta {{ contract_version = "{v}" }} events {{ e : a }} match<k:5m> {{ on event {{ e | count >= 1; }} }} -> score(1) entity(user, k) yield o@v{v} ({out}) }}\n' for i, (v, out) in enumerate([(1, "k = k"), (2, 's = "x"'), (1, "k = 2")]))
+    assert version_changes(parse_rules(text).rules) == ["V1: output o: s is new in version 2", "V2: output o: k of version 1 is gone in version 2"]
+
+
 def test_sound_rule_has_no_problems():
     assert problems(rule(out='k = k, s = fmt("{}", k)'), S) == []
 

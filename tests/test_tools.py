@@ -1,7 +1,9 @@
 """Transport, configuration, command line, and the output of scenarios."""
 
 import json
+import random
 import time
+import urllib.request
 
 import pyarrow as pa
 import pytest
@@ -13,6 +15,7 @@ from tidewatch.gen import output
 from tidewatch.lang.schema import parse_schemas
 from tidewatch.sources import readers, tcp
 from tidewatch.sources.metrics import Metrics
+from tidewatch.streaming import memory
 
 SCHEMA = 'window a { stream = "s" time = at over = 5m fields { k: chars n: digit at: time } } window o { over = 0 fields { k: chars n: digit } }'
 S = parse_schemas(SCHEMA)
@@ -101,8 +104,66 @@ def test_events_sent(spark, tmp_path):
     assert readers.arrow_ipc(spark, str(tmp_path / "s"), S["a"]).count() == 3
 
 
-def test_metrics_text():
+def test_metrics_text(spark, sf, tmp_path):
+    """Counters, gauges and histograms of a stream are served as text."""
     m = Metrics()
-    m.add("rows_total", "q", 2)
-    m.add("rows_total", "q", 3)
-    assert m.text() == 'rows_total{query="q"} 5\n'
+    spark.streams.addListener(m)
+    try:
+        events = spark.read.parquet(f"{sf}/events.parquet")
+        events.write.parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        q = source.groupBy("event_type").count().writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        for _ in range(100):
+            if ("queries_ended_total", (("query", "counted"),)) in m.counters:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(m)
+    assert m.counters["rows_total", (("query", "counted"),)] == events.count() and m.gauges["query_active", (("query", "counted"),)] == 0
+    df, seen = m.watched(events, "events", {"errors": "event_type = 'error'"})
+    df.count()
+    m.counted("events", seen)
+    server = m.serve()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/metrics") as got:
+        text = got.read().decode()
+    server.shutdown()
+    assert f'events_total{{of="errors"}} {events.where("event_type = \'error\'").count():g}\n' in text and "# TYPE batch_seconds histogram" in text and 'state_rows{operator="0",query="counted"} 5' in text
+    assert 'batch_seconds_bucket{query="counted",le="+Inf"}' in text and text == m.text()
+
+
+def test_memory_budget(spark):
+    """The newest rows stay, and of several windows the largest give way first; checked against taking rows off one by one."""
+    r = random.Random(4)
+    made = {name: [(i, r.randint(0, 50), "x" * r.randint(0, 90)) for i in range(n)] for name, n in (("a", 300), ("b", 90), ("c", 3))}
+    frames = {n: spark.createDataFrame(rows, "i bigint, s int, t string").withColumn("at", F.timestamp_seconds("s")) for n, rows in made.items()}
+    size = lambda row: memory.ROW + 3 * memory.VALUE + len(row[2])
+    left = {n: sorted(rows, key=lambda x: (x[1], x[0])) for n, rows in made.items()}
+    for most in (40_000, 9_000, 500, 0):
+        got = {n: sorted(x.i for x in df.collect()) for n, df in memory.within(frames, dict.fromkeys(frames, "at"), most, dict.fromkeys(frames, "i")).items()}
+        top = memory.level({n: sum(map(size, rows)) for n, rows in made.items()}, most)
+        for n, rows in left.items():
+            kept = list(rows)
+            while top is not None and sum(map(size, kept)) > top:
+                kept.pop(0)
+            assert got[n] == sorted(x[0] for x in kept), (most, n)
+        assert sum(size(x) for n in made for x in made[n] if x[0] in got[n]) <= most
+    assert memory.level({"a": 10, "b": 100, "c": 100}, 90) == 40 and memory.level({"a": 1}, 1) is None
+
+
+def test_replay_verify(spark, tmp_path, capsys):
+    (tmp_path / "s.schema").write_text(SCHEMA)
+    (tmp_path / "r.rule").write_text(RULE)
+    (tmp_path / "x.json").write_text("\n".join(json.dumps({"_stream": "s", "k": k, "n": n, "at": 1767225600000000000 + i * 10**9}) for i, (k, n) in enumerate([("x", 2), ("x", 3), ("y", 5), ("x", 1)])))
+    alert = {"rule_name": "r", "entity_type": "user", "entity_id": "x", "origin": "event", "fired_at": "2026-01-01T00:00:01.000Z", "score": 7.0}
+    common = ["replay-verify", str(tmp_path / "r.rule"), "--schemas", str(tmp_path / "*.schema"), "--input", str(tmp_path / "x.json"), "--expected", str(tmp_path / "want.json")]
+    (tmp_path / "want.json").write_text(json.dumps(alert))
+    assert cli.main(common) == 0 and '"matched": 1' in capsys.readouterr().out
+    (tmp_path / "want.json").write_text(json.dumps(alert | {"score": 9.0, "fired_at": "2026-01-01T00:00:03.000Z"}))
+    assert cli.main([*common, "--seconds", "5"]) == 1 and '"field_mismatch": 1' in capsys.readouterr().out
+    (tmp_path / "meta.json").write_text('{"time_tolerance_secs": 5, "score_tolerance": 3}')
+    assert cli.main([*common, "--meta", str(tmp_path / "meta.json")]) == 0
+    capsys.readouterr()
+    assert cli.main([*common, "--format", "markdown"]) == 1
+    out = capsys.readouterr().out
+    assert "# Verification: fail" in out and "| missing | r | user x | event | 2026-01-01T00:00:03 (9) | - |" in out

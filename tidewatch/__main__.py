@@ -1,4 +1,4 @@
-"""Command line: check, lint, explain, format, test, replay, generate and verify."""
+"""Command line: check, lint, explain, format, test, replay, replay-verify, generate and verify."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import json
 import os
 import sys
 
-from .lang.checker import problems
+from .lang.checker import problems, version_changes
 from .lang.explain import explain
 from .lang.layout import layout
 from .lang.lint import hints
@@ -39,14 +39,21 @@ def _spark():  # noqa: ANN202
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidewatch", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("check", "lint", "explain", "test", "replay"):
+    for name in ("check", "lint", "explain", "test", "replay", "replay-verify"):
         c = sub.add_parser(name)
         c.add_argument("rules")
         c.add_argument("--schemas", nargs="+", default=[])
         c.add_argument("--var", action="append", default=[], help="NAME=value")
-        if name == "replay":
+        if name.startswith("replay"):
             c.add_argument("--input", required=True)
+        if name == "replay":
             c.add_argument("--output")
+        if name == "replay-verify":
+            c.add_argument("--expected", required=True)
+            c.add_argument("--seconds", type=float)
+            c.add_argument("--score", type=float)
+            c.add_argument("--meta", help="JSON with time_tolerance_secs and score_tolerance, for what is not given")
+            c.add_argument("--format", choices=("json", "markdown"), default="json")
     c = sub.add_parser("format")
     c.add_argument("file")
     c.add_argument("--write", action="store_true")
@@ -70,13 +77,10 @@ def main(argv: list[str] | None = None) -> int:
             sys.stdout.write(text)
         return 0
     if a.command == "verify":
-        from pyspark.sql import functions as F
-
         from .gen import verify
 
         spark = _spark()
-        read = lambda path: spark.read.json(path).withColumn("at", F.coalesce(F.try_to_timestamp("fired_at"), F.try_to_timestamp("event_time")))
-        got = verify.report(verify.compare(read(a.expected), read(a.actual), a.seconds, a.score))
+        got = verify.report(verify.compare(verify.read(spark.read.json(a.expected)), verify.read(spark.read.json(a.actual)), a.seconds, a.score))
         print(json.dumps(got))
         return int(got["status"] != "pass")
     schemas = _schemas(a.schemas)
@@ -99,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(wrong) if wrong else "no problems")
         return int(bool(wrong))
     if a.command == "lint":
-        print("\n".join(h for r in parsed.rules for h in hints(r, schemas)))
+        print("\n".join([*(h for r in parsed.rules for h in hints(r, schemas)), *version_changes(parsed.rules)]))
         return 0
     if a.command == "explain":
         print("\n\n".join(explain(r) for r in parsed.rules))
@@ -116,6 +120,15 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = _spark()
     alerts = Engine(schemas, ndjson(spark, a.input, schemas), {}).run_all(text)
+    if a.command == "replay-verify":
+        from .gen import verify
+
+        meta = json.loads(_read(a.meta)) if a.meta else {}
+        near = [given if given is not None else float(meta.get(name, usual)) for given, name, usual in ((a.seconds, "time_tolerance_secs", 1.0), (a.score, "score_tolerance", 0.01))]
+        result = verify.compare(verify.read(spark.read.json(a.expected)), verify.read(alerts), *near)
+        got = verify.report(result)
+        print(verify.markdown(result, got) if a.format == "markdown" else json.dumps(got))
+        return int(got["status"] != "pass")
     if a.output:
         alerts.write.mode("overwrite").json(a.output)
     else:

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 KEY = ["rule_name", "entity_type", "entity_id", "origin"]
 
 
+def read(alerts: DataFrame) -> DataFrame:
+    """Alerts with their time, ``at``: when they fired, else the time of their last event."""
+    known = [F.try_to_timestamp(F.col(c).cast("string")) for c in ("fired_at", "event_time") if c in alerts.columns]
+    return alerts.withColumn("at", F.coalesce(*known))
+
+
 def compare(expected: DataFrame, actual: DataFrame, seconds: float = 1.0, score: float = 0.01) -> DataFrame:
     """A row for each alert of either side (``KEY``, at, score): matched, missing, unexpected or field_mismatch.
 
@@ -37,6 +43,17 @@ def report(result: DataFrame) -> dict[str, int | str]:
     return {"status": "fail" if bad else "pass", "oracle_total": counts["matched"] + counts["missing"] + counts["field_mismatch"], "actual_total": counts["matched"] + counts["unexpected"] + counts["field_mismatch"], **counts}
 
 
+def markdown(result: DataFrame, got: dict[str, int | str], most: int = 20) -> str:
+    """A comparison as a table of counts, and the first of the alerts that differ."""
+    lines = [f"# Verification: {got['status']}", "", "| What | Count |", "|-|-|", *[f"| {k} | {v} |" for k, v in got.items() if k != "status"]]
+    other = result.where("status <> 'matched'").orderBy("status", *KEY, F.coalesce("expected_at", "actual_at")).limit(most).collect()
+    if other:
+        lines += ["", "| Status | Rule | Entity | Origin | Expected | Actual |", "|-|-|-|-|-|-|"]
+        shown = lambda at, score: "-" if at is None else f"{at:%Y-%m-%dT%H:%M:%S} ({score:g})"
+        lines += [f"| {r.status} | {r.rule_name} | {r.entity_type} {r.entity_id} | {r.origin} | {shown(r.expected_at, r.expected_score)} | {shown(r.actual_at, r.actual_score)} |" for r in other]
+    return "\n".join(lines)
+
+
 def quality(alerts: DataFrame, cases: DataFrame) -> dict[str, float | None]:
     """Shares of the injected entities (entity_id, label: hit, near_miss or miss) that have an alert, precision and recall, and, with the cases' times ``at``, seconds from the last injected event to the alert."""
     found = alerts.select("entity_id").distinct().withColumn("_found", F.lit(1))

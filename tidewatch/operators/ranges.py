@@ -38,3 +38,19 @@ def running_max(df: DataFrame, value: Column, order: list[str], name: str) -> Da
     before = tops.select("_part", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     out = df.withColumn(name, F.max("_value").over(own)).join(F.broadcast(before), "_part")  # a row for each range
     return out.withColumn(name, F.greatest(name, "_before")).drop("_part", "_value", "_before")
+
+
+def running_sum(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` (whole numbers) of each row and all before it, in the given order (its first column a whole number).
+
+    Ranges of the order are summed by themselves, and what all ranges before have, of which there is a row for each, is added.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    df = df.withColumn("_value", value).withColumn("_first", order[0].cast("bigint"))
+    cuts = splits(df, F.col("_first"), n) or [0]
+    df = df.withColumn("_part", F.coalesce(reached(F.col("_first"), cuts)[0], F.lit(0)))
+    own = Window.partitionBy("_part").orderBy("_first", *order[1:])
+    sums = df.groupBy("_part").agg(F.sum("_value").alias("_all"))
+    before = sums.select("_part", (F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).alias("_before"))
+    out = df.withColumn(name, F.sum("_value").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "_part")  # a row for each range
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_value", "_first", "_before")
