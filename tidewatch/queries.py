@@ -16,11 +16,12 @@ from .operators import joins
 from .operators.baseline import baseline
 from .sources import sinks
 from .streaming.late import retained, split_late
-from .streaming.processor import STATE_STORE, stream_alerts
+from .streaming.processor import STATE_STORE, drain, stream_alerts, write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+TEXTS: dict[str, str] = {}
 
 SCHEMAS = """
 window events { stream = "events" time = ts over = 400d
@@ -39,6 +40,15 @@ window alerts { over = 0 fields { user: digit n: digit m: float label: chars lis
 ORDER = {"events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey", "signups": "event_id", "part": "p_partkey"}
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder under the one that the driver and all executors share; only a session in one process may do without that."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if named is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='tidewatch-')}/{what}-{uuid.uuid4().hex}"
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     tables = {name: read(name) for name in ("events", "orders", "customer", "nation", "part")}
@@ -55,7 +65,7 @@ def rule(name: str, text: str, columns: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return engine(spark, sf_dir).run(f"rule {name} {{ {text} }}").selectExpr(*columns.split("; "))
 
-    QUERIES[name], ORACLES[name] = run, sql
+    QUERIES[name], ORACLES[name], TEXTS[name] = run, sql, text
 
 
 def query(name: str, sql: str | None) -> Callable[[Query], Query]:
@@ -413,21 +423,35 @@ ORACLES["flush_close"] = f"""WITH {ev()}, g AS (SELECT DISTINCT user_id, b FROM
 # Streams: read to their end, with what is still open left open.
 
 
+def live(spark: SparkSession, sf_dir: str) -> Engine:
+    """The tables, with the events as a stream."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    tables = engine(spark, sf_dir)
+    path = f"{sf_dir}/event[s].parquet"  # a pattern, as a stream's path must be that or a folder
+    source = spark.readStream.schema(tables.tables["events"].schema).parquet(path)
+    return Engine.of(SCHEMAS, {**tables.tables, "events": source.withColumn("ts", F.col("ts").cast("timestamp"))}, ORDER)
+
+
 def stream(name: str, text: str, columns: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for key, value in STATE_STORE.items():
-            spark.conf.set(key, value)
-        tables = engine(spark, sf_dir)
-        path = f"{sf_dir}/event[s].parquet"  # a pattern, as a stream's path must be that or a folder
-        source = spark.readStream.schema(tables.tables["events"].schema).parquet(path)
-        source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-        on = Engine.of(SCHEMAS, {**tables.tables, "events": source}, ORDER)
-        folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewatch-')}/stream-{uuid.uuid4().hex}"
+        on, folder = live(spark, sf_dir), scratch(spark, "stream")
         alerts = stream_alerts(on, on.rules(f"rule {name} {{ {text} }}")[0])
         started = alerts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         started.awaitTermination()
         return spark.read.schema(alerts.schema).parquet(f"{folder}/out").selectExpr(*columns.split("; "))
 
+    QUERIES[name], ORACLES[name], TEXTS[name] = run, sql, text
+
+
+def batches(name: str, text: str, columns: str, sql: str) -> None:
+    """Registers a rule over a stream that needs the emissions of a batch together."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        on, folder = live(spark, sf_dir), scratch(spark, "batches")
+        write_batches(on, on.rules(f"rule {name} {{ {text} }}")[0], lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}"), folder)
+        return spark.read.parquet(f"{folder}/out").selectExpr(*columns.split("; "))
+
     QUERIES[name], ORACLES[name] = run, sql
 
 
@@ -452,6 +476,47 @@ stream(
 )
 
 
+def text_of(rule_name: str) -> str:
+    """The text of a rule that was registered above."""
+    return TEXTS[rule_name]
+
+
+batches("stream_throttle", text_of("limits_throttle"), ALERT, ORACLES["limits_throttle"])
+batches(
+    "stream_instances",
+    text_of("limits_instances"),
+    "entity_id; score; fired_at",
+    f"""WITH {ev("event_type = 'error'")}, f AS (SELECT user_id, b, min(struct_pack(t := ts, i := event_id)) AS p FROM e GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p) AS k FROM f)
+    SELECT user_id::VARCHAR AS entity_id, 1.0::DOUBLE AS score, {stamp(f"b + {DAY}")} AS fired_at FROM r, w WHERE k <= 5 AND b + {DAY} <= wm""",
+)
+batches("stream_sort_top", text_of("conv_sort_top"), f"{ALERT}; m; rank", f"SELECT * FROM ({ORACLES['conv_sort_top']}) WHERE origin = 'close:timeout'")
+batches("stream_dedup_where", text_of("conv_dedup_where"), f"{ALERT}; n; rank", f"SELECT * FROM ({ORACLES['conv_dedup_where']}) WHERE origin = 'close:timeout'")
+batches("stream_asof", text_of("asof_join"), f"{ALERT}; m; other", ORACLES["asof_join"])
+batches(
+    "stream_two_stage",
+    text_of("pipeline_two_stage"),
+    f"{ALERT}; m; other",
+    f"""WITH {ev()}, g AS (SELECT user_id, event_type, b, count(*) AS n, max(ts) AS last FROM e, w GROUP BY ALL HAVING count(*) >= 2 AND b + {DAY} <= max(wm)),
+    h AS (SELECT *, make_timestamp((epoch_us(last) // 864000000000) * 864000000000) AS b2 FROM g), w2 AS (SELECT max(last) - {DAY} AS wm FROM h),
+    r AS (SELECT user_id, b2, count(DISTINCT event_type) AS k, max(n) AS most FROM h GROUP BY ALL)
+    SELECT user_id::VARCHAR AS entity_id, 85.0::DOUBLE AS score, 'close:timeout' AS origin, {stamp("b2 + INTERVAL 10 DAY")} AS fired_at, k::DOUBLE AS m, most::DOUBLE AS other FROM r, w2 WHERE k >= 2 AND b2 + INTERVAL 10 DAY <= wm""",
+)
+
+
+@query(
+    "stream_drain",
+    f"""WITH {ev("event_type = 'error'")}, g AS (SELECT user_id, b, count(*) AS n FROM e GROUP BY ALL)
+    SELECT user_id::VARCHAR AS entity_id, 70.0::DOUBLE AS score, 'close:flush' AS origin, {stamp("wm")} AS fired_at, n FROM g, w WHERE n >= 2 AND b + {DAY} > wm""",
+)
+def stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What closing the windows that a stopped stream has left open gives."""
+    on, folder = live(spark, sf_dir), scratch(spark, "drain")
+    rule_ = on.rules(f"rule stream_drain {{ {text_of('stream_fixed_close')} }}")[0]
+    stream_alerts(on, rule_).writeStream.format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return drain(on, rule_, f"{folder}/state").selectExpr(*f"{ALERT}; n".split("; "))
+
+
 @query("close_one_key", f"""WITH {ev()} SELECT user_id::VARCHAR AS entity_id, 1.0::DOUBLE AS score, 'close:flush' AS origin, {stamp("max(ts)")} AS fired_at FROM e WHERE user_id = 3 GROUP BY user_id, b HAVING b + {DAY} > (SELECT max(ts) FROM e WHERE user_id = 3)""")
 def close_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = engine(spark, sf_dir)
