@@ -284,18 +284,19 @@ def _injected(spark: SparkSession, s: Scenario, c: Case, k: int, w: WindowSchema
     equal = forced(bind.where) if bind and c.kind != "miss" else {}
     rows = rows.select(
         (F.lit((k + 1) * 1_000_000_000) + F.col("id") * each + F.row_number().over(_place())).alias("seq"), F.timestamp_micros(F.lit(round(START * 1_000_000)) + F.col("at") + F.col("after")).alias("ts"), "step", entity.alias("entity"),
+        (F.lit((k + 1) * 1_000_000_000) + F.col("id")).alias("number"),
     )
     given: dict[str, Column] = {}
     types = w.types
     for name, kind in w.fields:
         if name in keys or name == c.entity:
-            given[name] = F.col("entity") if kind in ("chars", "ip", "hex") else F.col("seq")
+            given[name] = F.col("entity") if kind in ("chars", "ip", "hex") else F.col("number")  # the same for all of an entity's events
         values = [dict(u.values).get(name) for u in steps]
         if any(v is not None for v in values):
             given[name] = F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("step") + 1).try_cast({"digit": "bigint", "float": "double", "bool": "boolean"}.get(types[name], "string"))
         if name in equal:
             given[name] = F.lit(equal[name])
-    keep = rows.select("seq", "ts", "step", "entity")
+    keep = rows.select("seq", "ts", "step", "entity", "number")
     out = [(F.col("ts") if name == w.time else given.get(name, _plain(kind, s.seed, i))).alias(name) for i, (name, kind) in enumerate(w.fields)]
     return keep.select("seq", F.col("ts").alias("_ts"), *out, F.lit(c.kind).alias("label"), F.col("entity"))
 

@@ -718,3 +718,6 @@ def verify_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = df.select(F.lit("r").alias("rule_name"), F.lit("user").alias("entity_type"), F.col("event_id").cast("string").alias("entity_id"), F.col("event_type").alias("origin"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("score"), "event_id")
     actual = base.where("event_id % 3 <> 0").withColumn("score", F.when(F.col("event_id") % 5 == 0, F.col("score") + 1).otherwise(F.col("score")))
     return verify.compare(base, actual).groupBy("status").agg(F.count("*").alias("n"))
+
+
+from . import tool_queries as _tool_queries  # noqa: E402, F401  registers the queries of sources, sinks, tools and generators

@@ -11,6 +11,7 @@ import os
 import socket
 import struct
 import threading
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -90,6 +91,14 @@ class Receiver:
             self.frames += 1
             self.rows += table.num_rows
 
+    def wait(self, frames: int, seconds: float = 60.0) -> None:
+        """Returns when so many frames have come, bad ones too, or raises after some time."""
+        end = time.monotonic() + seconds
+        while self.frames + self.errors < frames:
+            if time.monotonic() > end:
+                raise TimeoutError(f"{self.frames + self.errors} of {frames} frames came")
+            time.sleep(0.02)
+
     def close(self) -> None:
         """Takes no more connections and waits for those that are open to end."""
         self.open = False
