@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd rows."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -315,6 +316,68 @@ def test_keep_one(documents):
     assert [i for i, _ in got] == [-1, 3, 4, 8] and got[0][1] == prose(9)
 
 
+def five_word(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def likeness_of(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_masks_cover_every_three_bits():
+    assert len(simhash.WORD_MASKS) == 15
+    for c in itertools.combinations(range(64), simhash.WORD_RADIUS):
+        assert any(not any(m >> i & 1 for i in c) for m in simhash.WORD_MASKS)
+
+
+def test_similarity_of_sketches(spark):
+    """Exact for small sets; near for large ones."""
+    looker, r = simhash.Looker(), random.Random(3)
+    base = prose(1, 90).split()
+    pairs = [(prose(1, 90), " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(0, 90, 9)] + [(prose(1, 30), prose(2, 30)), ("a b", "a b"), ("a b", "a c")]
+    long = [r.choice("abcdefgh") * r.randint(1, 9) for _ in range(4000)]
+    pairs += [(" ".join(long), " ".join(w if r.random() > share else "x" for w in long)) for share in (0.005, 0.02, 0.1)]
+    rows = [(i, looker.look(a.encode())[3], looker.look(b.encode())[3]) for i, (a, b) in enumerate(pairs)]
+    got = {x.i: x.s for x in spark.createDataFrame(rows, "i int, a array<int>, b array<int>").select("i", simhash.similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == pytest.approx(likeness_of(five_word(a), five_word(b)), abs=1e-9 if len(five_word(a) | five_word(b)) <= simhash.SKETCH else 0.15)
+
+
+def test_near_copies(documents):
+    """Texts edited in a few places meet, and others do not, whatever they have in common."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    write = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    passage, texts, source = write(60), [], []
+    for k in range(120):
+        base = write(r.choice([40, 150, 500])) + (passage if k % 3 == 0 else [])
+        for copy in range(r.choice([1, 1, 2, 5])):
+            own = list(base)
+            for _ in range(0 if copy == 0 else max(1, len(own) // 60)):
+                own[r.randrange(len(own))] = r.choice(vocabulary)
+            texts.append(" ".join(own))
+            source.append(k)
+    got = {x.doc_id: x.root for x in simhash.near_copies(documents(list(enumerate(texts)))).collect()}
+    shingles = [five_word(t) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if likeness_of(shingles[i], shingles[j]) >= simhash.SIMILAR]
+    assert len(alike) > 100 and np.mean([got[i] == got[j] for i, j in alike]) > 0.9
+    assert all(source[i] == source[j] for i in range(len(texts)) for j in range(i) if got[i] == got[j])
+    kept = [x.doc_id for x in simhash.keep_one(documents(list(enumerate(texts)))).select("doc_id").collect()]
+    assert sorted(kept) == sorted({min(i for i in got if got[i] == root) for root in got.values()})
+
+
+def test_near_copies_of_documents(docs, texts):
+    """Nine in ten of the table's pairs of similar texts share a group; no document is in a group without a text that is similar or of a near fingerprint."""
+    got = {x.doc_id: (x.root, x.fp) for x in simhash.near_copies(docs).collect()}
+    shingles = {i: five_word(t) for i, t in texts.items()}
+    alike = [(i, j) for i in texts for j in texts if j < i and likeness_of(shingles[i], shingles[j]) >= simhash.SIMILAR]
+    assert not alike or np.mean([got[i][0] == got[j][0] for i, j in alike]) >= 0.9
+    for i in texts:
+        partners = [j for j in texts if j != i and got[j][0] == got[i][0]]
+        assert not partners or any(likeness_of(shingles[i], shingles[j]) > 0.65 or ((got[i][1] ^ got[j][1]) & (2**64 - 1)).bit_count() <= 2 for j in partners)
+
+
 # Fingerprints.
 
 

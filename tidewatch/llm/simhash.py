@@ -15,6 +15,11 @@ rows for each of them, not m squared, and each shared neighbour links its member
 
 Components are found by alternating large-star and small-star steps with a checkpoint after each.
 
+``keep_one`` thins out near copies by the same links and by further ones, as an edited word in fifty moves a fingerprint of three-word shingles by more than the
+radius.  A fingerprint of single words moves far less; it is too coarse to link by itself, but does to propose: texts within ``WORD_RADIUS`` bits of it,
+covered by masks of the same construction, and one of ``MINIMA`` least hashes of the five-word shingles in common.  In each such group
+all are proposed to the one of the least fingerprint, and linked if ``SKETCH`` least hashes of five-word shingles put their similarity at ``SIMILAR`` or more.
+
 Edge cases: a null or empty text, or one without words, has the fingerprint zero, which links like any
 other; repeated rows each get a row; a null doc_id is kept and never the smallest of its
 component unless all are null; texts are read whole, however long; extra columns are ignored; an empty table gives no rows.
@@ -25,21 +30,36 @@ are sort-merge joins, whose hot partitions (the fingerprint of all empty texts,
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, own_columns, row_key, rows_again, with_row
 
 RADIUS = 2
 SEED = 42
-#: The vector of each bit position, 1..7, and for each table the bits it keeps.
-VECTORS = [i % 7 + 1 for i in range(64)]
-MASKS = [sum(1 << i for i, p in enumerate(VECTORS) if (p & v).bit_count() % 2) for v in range(1, 8)]
+
+
+def covering(radius: int) -> list[int]:
+    """For each table the bits it keeps, so that any ``radius`` bits are all left out by one table or more.
+
+    Bit positions have non-zero vectors of radius + 1 bits; a table is a non-zero vector too, and keeps the positions whose product with it is odd.
+    """
+    n = (1 << radius + 1) - 1
+    return [sum(1 << i for i in range(64) if ((i % n + 1) & v).bit_count() % 2) for v in range(1, n + 1)]
+
+
+MASKS = covering(RADIUS)
+#: For near copies: the radius of single words' fingerprints, words in a shingle, the least similarity, and the hashes by which texts meet and are compared.
+WORD_RADIUS, WORDS, SIMILAR, MINIMA, SKETCH = 3, 5, 0.8, 3, 128
+WORD_MASKS = covering(WORD_RADIUS)
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9][:MINIMA], np.uint64)
+REMEMBERED = 300_000
 BLOCK = 1 << 16
 
 
@@ -47,39 +67,73 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def simhash(text: bytes | None) -> int:
-    """The fingerprint of one text as a signed 64-bit integer."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < 3:
-        words = [b" ".join(words), b"", b""]
-        shingles: Iterator[bytes] = iter(words[:1])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:]))
-        n = len(words) - 2
+def _majority(hashes: Iterator[int], n: int) -> int:
+    """The bits that more than half of ``n`` hashes have, as a signed 64-bit integer."""
     counts = np.zeros(64, np.int64)
-    h = xxhash.xxh64_intdigest
     for start in range(0, n, BLOCK):
         k = min(BLOCK, n - start)
-        block = np.fromiter((h(s, SEED) for s, _ in zip(shingles, range(k))), np.uint64, k)
+        block = np.fromiter(itertools.islice(hashes, k), np.uint64, k)
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
-    """doc_id and fp (a signed long) for each row, and with_key the row's ``key``."""
-    names = ["doc_id", "key", "fp"] if with_key else ["doc_id", "fp"]
+def _shingles(words: list[bytes], n: int) -> tuple[Iterator[bytes], int]:
+    """The shingles of ``n`` words, and how many; of fewer words the whole sequence."""
+    if len(words) < n:
+        return iter([b" ".join(words)]), 1
+    return map(b" ".join, zip(*(words[i:] for i in range(n)))), len(words) - n + 1
+
+
+def _of_words(words: list[bytes]) -> int:
+    if not words:
+        return 0
+    shingles, n = _shingles(words, 3)
+    return _majority((xxhash.xxh64_intdigest(s, SEED) for s in shingles), n)
+
+
+def simhash(text: bytes | None) -> int:
+    """The fingerprint of one text as a signed 64-bit integer."""
+    return _of_words((text or b"").lower().split())
+
+
+class Looker:
+    """What near copies are found by: a text's fingerprint, that of its single words, its minima and its sketch."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def word(self, w: bytes) -> int:
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            got = self.known[w] = xxhash.xxh64_intdigest(w, SEED)
+        return got
+
+    def look(self, text: bytes | None) -> tuple[int, int, list[int], list[int]]:
+        words = (text or b"").lower().split()
+        if not words:
+            return 0, 0, [], []
+        minima, least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64), np.zeros(0, np.uint32)
+        shingles, n = _shingles(words, WORDS)
+        for start in range(0, n, BLOCK):
+            k = min(BLOCK, n - start)
+            block = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in itertools.islice(shingles, k)), np.uint64, k)
+            minima = np.minimum(minima, (block[:, None] * _TURNS).min(0))
+            least = np.unique(np.concatenate([least, (block >> np.uint64(32)).astype(np.uint32)]))[:SKETCH]
+        return _of_words(words), _majority(map(self.word, words), len(words)), minima.view(np.int64).tolist(), least.view(np.int32).tolist()
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fp (a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([simhash(t.as_py()) for t in b.column(0)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], fp], names)
+            yield pa.RecordBatch.from_arrays([b.column(1), fp], ["doc_id", "fp"])
 
     own = own_columns(docs, ("doc_id", "text"))
-    kept = [F.col("doc_id"), row_key().alias("key")] if with_key else [F.col("doc_id")]
-    return own.select(F.col("text").cast("binary").alias("text"), *kept).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return own.select(F.col("text").cast("binary").alias("text"), "doc_id").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -97,6 +151,44 @@ def links(fps: DataFrame) -> DataFrame:
     return stars.select(F.array_min("all").alias("v"), F.explode("all").alias("u")).where("u > v").distinct().select("u", "v")
 
 
+def looked(docs: DataFrame) -> DataFrame:
+    """doc_id, key, fp, words_fp, minima and sketch of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looker = Looker()
+        for b in batches:
+            got = [looker.look(t.as_py()) for t in b.column(0)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], ["doc_id", "key", "fp", "words_fp", "minima", "sketch"])
+
+    own = own_columns(docs, ("doc_id", "text"))
+    return own.select(F.col("text").cast("binary").alias("text"), "doc_id", row_key().alias("key")).mapInArrow(run, "doc_id bigint, key bigint, fp bigint, words_fp bigint, minima array<bigint>, sketch array<int>")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Of two sets, from their sketches: the share of the least hashes of both together that both have; exact if all are there."""
+    unsigned = lambda xs: F.transform(xs, lambda x: F.pmod(x.cast("bigint"), F.lit(1 << 32)))
+    a, b = unsigned(a), unsigned(b)
+    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    shared = F.size(F.filter(F.array_intersect(a, b), lambda x: x <= F.element_at(both, -1)))
+    return F.when(F.size(both) > 0, shared / F.size(both)).otherwise(0.0)
+
+
+def similar_links(texts: DataFrame) -> DataFrame:
+    """Of texts (fp, words_fp, minima, sketch, one row for each fp and words_fp), edges (u, v), u > v, of fingerprints whose texts are similar."""
+    masked = [F.struct(F.lit(i).alias("t"), F.col("words_fp").bitwiseAND(F.lit(signed(m))).alias("p")) for i, m in enumerate(WORD_MASKS)]
+    met = texts.where(F.size("minima") > 0).select("fp", "words_fp", "minima", F.inline(F.array(*masked))).select("fp", "words_fp", "t", "p", F.posexplode("minima").alias("i", "m"))
+    met = met.select("fp", "words_fp", F.xxhash64("t", "p", "i", "m").alias("g"))
+    both = F.struct("fp", "words_fp")
+    first = met.groupBy("g").agg(F.min(both).alias("a"), F.max(both).alias("b")).where("a < b").select("g", F.col("a.fp").alias("a_fp"), F.col("a.words_fp").alias("a_words"))
+    pairs = met.join(first, "g").where("fp <> a_fp").select("fp", "words_fp", "a_fp", "a_words").distinct()
+    firsts = texts.select(F.col("fp").alias("a_fp"), F.col("words_fp").alias("a_words"), F.col("sketch").alias("a_sketch"))
+    pairs = pairs.join(texts.select("fp", "words_fp", "sketch"), ["fp", "words_fp"]).join(firsts, ["a_fp", "a_words"])
+    near = pairs.where(similarity(F.col("sketch"), F.col("a_sketch")) >= SIMILAR)
+    return near.select(F.col("fp").alias("u"), F.col("a_fp").alias("v")).distinct()  # the least of a group has the least fingerprint
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each node of the edges (u, v), u > v: root is the least node of its component."""
     edges = cut(edges.select("u", "v"))
@@ -115,16 +207,36 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable, for each row of ``docs``; with_key also the row's ``key`` and its component's ``root``."""
-    marked = cut(fingerprints(docs, with_key))
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(fps.select("fp")))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
+def _fingerprints_of(marked: DataFrame) -> DataFrame:
+    """Each fingerprint of ``marked`` (doc_id, fp) once, with its smallest doc_id, ``least``."""
+    return cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+
+
+def _rooted(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, component_id (the smallest doc_id) and root of each fingerprint, by the components of ``edges``."""
+    roots = components(edges)
+    named = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(first, "root").select("fp", "component_id", "root")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", *(["key", "root"] if with_key else []))
+    return named.join(first, "root").select("fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable, for each row of ``docs``."""
+    marked = cut(fingerprints(docs))
+    fps = _fingerprints_of(marked)
+    return marked.join(_rooted(fps, links(fps.select("fp"))), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, key, fp, component_id and root of each row: components of the links of fingerprints and of those of similar texts."""
+    marked = cut(looked(docs))
+    fps = _fingerprints_of(marked)
+    texts = marked.groupBy("fp", "words_fp").agg(F.min(F.struct("minima", "sketch")).alias("s"))
+    texts = cut(texts.select("fp", "words_fp", "s.minima", "s.sketch"))
+    # Expressions of their own, as Spark fails on a union of columns that it has inferred a comparison of.
+    fresh = lambda df: df.select(*[F.col(c).bitwiseXOR(F.lit(0)).alias(c) for c in ("u", "v")])
+    edges = fresh(links(fps.select("fp"))).unionByName(fresh(similar_links(texts)))
+    return marked.join(_rooted(fps, edges), "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -133,7 +245,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A null id comes after all others; of rows that share an id that of the lowest hash of its text; of rows alike
     in both, one.
     """
-    rows = near_duplicates(docs, with_key=True)
+    rows = near_copies(docs)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("first"))
     first = first.select(F.col("first")["key"].alias("_k"), F.col("first")["doc_id"].alias("_d"))
     keyed = with_row(docs, ("doc_id", "text")).select("_row", "doc_id", row_key().alias("_key"))
