@@ -531,6 +531,27 @@ def test_toxicity_finds_sentences(spark, documents):
     assert np.mean([bool(re.search("idiot|moron|scum|clown", s)) for s in found]) > 0.95
 
 
+def test_toxicity_against_brute_force(spark, sf, docs, texts):
+    """The query's rows are what the formula gives from the weights, sentence by sentence; labels of held-out rows don't matter."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = toxicity.fit(docs, labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    place = lambda x: zlib.crc32(x.encode()) >> (32 - toxicity.BITS)
+    rows = queries.op2_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        kept, worst = 1.0, (-np.inf, None)
+        for m in re.finditer(r"[^.!?\n]+", texts[x.doc_id] or ""):
+            found = re.findall(r"[^\W\d_]+", m[0].lower())
+            zs = [model.bias + sum(float(model.weights[[place(w), *(place(f"{k}^{w[:k]}") for k in (4, 5, 6, 7) if len(w) > k)]].sum()) for w in set(found[i : i + 25])) for i in range(0, len(found), 25)]
+            for z in zs:
+                kept *= 1 / (1 + np.exp(z))
+            if zs and max(zs) > worst[0]:
+                worst = max(zs), m.span()
+        assert x.score == pytest.approx(1 - kept, abs=1e-5) and x.predicted == int(x.score >= 0.3) and x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2)
+        assert (x.worst_start, x.worst_end) == (worst[1] or (None, None))
+
+
 def test_toxicity_noisy_or():
     m = toxicity.Model(np.zeros(1 << toxicity.BITS), -1.0)
     p = 1 / (1 + np.exp(1.0))
@@ -551,6 +572,25 @@ def test_quality_separates(spark, documents):
     assert np.mean([(got[i].score >= 0.5) == (i % 3 > 0) for i in held]) > 0.97 and all(got[i].held_out for i in held)
 
 
+def test_quality_against_brute_force(spark, sf, docs, texts):
+    """The query's scores are the sum over all pairs of features; labels of held-out rows don't matter."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = quality_fm.fit(docs, labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    own = labels.where(~held & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
+    assert 0 < own < 1
+    rows = queries.op7_quality(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        text = (texts[x.doc_id] or "").encode()
+        found = sorted({zlib.crc32(w.lower()) >> (32 - quality_fm.BITS) for w in text.split()})
+        bins = [(1 << quality_fm.BITS) + k * quality_fm.BINS + sum(e <= v for e in model.edges[k]) for k, v in enumerate(quality_fm.statistics(text, text.split()))]
+        at, value = found + bins, np.array([len(found) ** -0.5] * len(found) + [len(bins) ** -0.5] * len(bins))
+        vx = model.v[at] * value[:, None]
+        z = model.bias + model.w[at] @ value + np.triu(vx @ vx.T, 1).sum()
+        assert x.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-4) and x.predicted == int(x.score >= 0.3) and x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
+
+
 def test_machine_identity():
     """The linear-time form equals the sum over pairs."""
     r = np.random.default_rng(1)
@@ -569,6 +609,47 @@ def test_language(spark, sf, docs):
     assert len(pages) == spark.read.parquet(f"{sf}/pages.parquet").count() and np.mean([x.kept for x in pages]) > 0.9
 
 
+@pytest.mark.parametrize("table", ["documents", "pages"])
+def test_language_against_brute_force(spark, sf, docs, table):
+    """The query's posteriors are those of the formula in the module's text, worked out row by row from the trigram counts."""
+    key = "doc_id" if table == "documents" else "page_id"
+    own = language.of_documents(docs) if table == "documents" else language.of_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+    rows = own.collect()
+    model = language.fit_text(own.withColumn(key, F.col(key).cast("bigint")), key, "text")
+    names = [*model.languages, "und"]
+    ll = []
+    for r in rows:
+        found = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        at = [zlib.crc32(f" {w} "[i : i + 3].encode()) >> 17 for w in found for i in range(len(w))]
+        ll.append((len(found), 0.25 * model.table[at].sum(0, dtype=np.float64) if at else None))
+    soft = {k: np.exp(v - v.max()) / np.exp(v - v.max()).sum() for k, (n, v) in enumerate(ll) if n}
+    overall = (sum(soft.values()) + 1) / (len(soft) + len(names))
+
+    def smoothed(of, coarser):
+        sums, count = {}, Counter()
+        for k in soft:
+            g = of(rows[k])
+            sums[g], count[g] = sums.get(g, 0) + soft[k], count[g] + 1
+        return {g: (sums[g] + 20 * coarser(g)) / (count[g] + 20) for g in sums}
+
+    by_suffix = smoothed(lambda r: r.suffix, lambda g: overall)
+    suffix_of = {r.host: r.suffix for r in rows}
+    by_host = smoothed(lambda r: r.host, lambda g: by_suffix[suffix_of[g]])
+    by_declared = smoothed(lambda r: r.declared, lambda g: overall)
+    got = {x[key]: x for x in (queries.op1_language if table == "documents" else queries.op1_language_pages)(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for k, r in enumerate(rows):
+        x = got[r[key]]
+        if k not in soft:
+            assert x.lang_pred == "und" and not x.kept
+            continue
+        log = ll[k][1] + np.log(by_host[r.host]) + np.log(by_declared[r.declared]) - np.log(overall)
+        p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        assert x.confidence == pytest.approx(p.max(), abs=1e-4) and x.n_words == ll[k][0]
+        if p.max() - np.sort(p)[-2] > 1e-3 and abs(1 - p[-1] - language.SURE) > 1e-3 and (r.declared in (None, *names)):
+            assert x.lang_pred == names[int(p.argmax())] and x.kept == (names[int(p.argmax())] != "und" and 1 - p[-1] >= language.SURE)
+
+
 def test_language_evidence(documents, docs):
     """Text overrules a wrong declaration; where the text says nothing, host and declaration do."""
     rows = [(r.doc_id, r.text, r.lang, f"host-{r.lang}") for r in docs.collect()]
