@@ -82,11 +82,11 @@ def source_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min(F.unix_micros("ts")).alias("first_us"))
 
 
-@query("source_rows", values("who, what, us, seq", (3, "in", 1_000_000, 0), (4, None, 2_500_000, 1), (None, "out", 2_500_000, 2)))
+@query("source_rows", values("who, what, us, seq", ("3", "in", 1_000_000, 0), ("4", None, 2_500_000, 1), (None, "out", 2_500_000, 2)))
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written by hand, on a clock."""
     got = readers.rows(spark, WINDOWS["both"], [{"who": 3, "what": "in"}, {"who": 4.0}, {"what": "out"}], [1_000_000, 2_500_000, 2_500_000])
-    return got.select("who", "what", F.unix_micros("ts").alias("us"), F.col("_seq").alias("seq"))
+    return got.select(F.col("who").cast("string").alias("who"), "what", F.unix_micros("ts").alias("us"), F.col("_seq").alias("seq"))
 
 
 @query(
@@ -140,13 +140,13 @@ connect = "files"
 """
 
 
-@query("sink_config", values("name, path, format, tags, parallel, required, takes", ("security", "elsewhere", "json", "env:test,kind:x,team:b", 10, True, "auth1 sec_a"), ("default", "base", "json", "env:test,team:b", None, False, "other")))
+@query("sink_config", values("name, path, format, tags, parallel, required, takes", ("security", "elsewhere", "json", "env:test,kind:x,team:b", 10, True, "auth1 sec_a"), ("default", "base", "json", "env:test,team:b", 0, False, "other")))
 def sink_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes, found = sinks.load_config(_SINKS)
     names = ["sec_a", "auth1", "other"]
     takes = {n: sorted(x for x in names if any(sinks.matches(p, x) for p in ps)) for n, ps in routes.groups}
     takes["default"] = [x for x in names if not any(x in t for t in takes.values())]
-    rows = [(s.name, s.path, s.format, ",".join(f"{k}:{v}" for k, v in sorted(s.tags.items())), s.parallel, s.required, " ".join(takes[n])) for n, s in found.items()]
+    rows = [(s.name, s.path, s.format, ",".join(f"{k}:{v}" for k, v in sorted(s.tags.items())), s.parallel or 0, s.required, " ".join(takes[n])) for n, s in found.items()]
     return table(spark, "name string, path string, format string, tags string, parallel bigint, required boolean, takes string", rows)
 
 
@@ -333,13 +333,13 @@ def gen_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("gen_injection", values("label, entities, each, distinct_keys", ("hit", 60, 3, 60), ("near_miss", 45, 2, 45), ("miss", 90, 1, 90), (None, None, 1800, None)))
+@query("gen_injection", values("label, entities, each, distinct_keys", ("hit", 60, 3, 60), ("near_miss", 45, 2, 45), ("miss", 90, 1, 90), ("none", 0, 1800, 0)))
 def gen_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scenario of 1800 events injects: entities of each label, the events of each, and their keys."""
     _, df = _scenario(spark)
     own = df.where("label IS NOT NULL").groupBy("label", "entity").agg(F.count("*").alias("n"), F.min("user_id").alias("k"), F.max("user_id").alias("last"))
     own = own.groupBy("label").agg(F.count("*").alias("entities"), F.max("n").alias("each"), F.count_distinct(F.when(F.col("k") == F.col("last"), F.col("k"))).alias("distinct_keys"))
-    return own.unionByName(df.where("label IS NULL").agg(F.lit(None).cast("string").alias("label"), F.lit(None).cast("bigint").alias("entities"), F.count("*").alias("each"), F.lit(None).cast("bigint").alias("distinct_keys")))
+    return own.unionByName(df.where("label IS NULL").agg(F.lit("none").alias("label"), F.lit(0).cast("bigint").alias("entities"), F.count("*").alias("each"), F.lit(0).cast("bigint").alias("distinct_keys")))
 
 
 @query("gen_problems", values("change, codes", ("none", ""), ("stream", "SC3"), ("share", "SV6"), ("fault", "SV7"), ("rule", "VN2"), ("metric", "VN1"), ("burst", "SV3"), ("traffic", "SC2")))
