@@ -41,8 +41,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import own_columns
 
-#: Words remembered by a Python worker, twice.
-REMEMBERED = 250_000
+#: Words remembered by a Python worker, twice, and pairs of tokens; some 70 MB together.
+REMEMBERED, PAIRS = 120_000, 400_000
 SPACE = "".join(map(chr, [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
 #: Characters at which str.split splits though the vocabulary's expressions do not count them as space.
@@ -70,7 +70,7 @@ class Automaton:
         self.parent: dict[int, int] = {}  # the state it was forked from
         self.came: dict[int, int] = {}  # the arc whose states get this arc
         self.lost: dict[tuple[int, int], int] = {}  # (state, arc): number of the gadget that took it
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}  # by state << 20 | arc
         for number, (a, b) in enumerate(merges):
             if a in self.ids and b in self.ids and self.follow(self.ids[a], self.ids[b], number):
                 if a + b in self.ids:
@@ -84,10 +84,10 @@ class Automaton:
 
     def has_arc(self, state: int, arc: int) -> bool:
         """Whether ``arc`` leaves ``state`` after the last gadget."""
-        key = (state, arc)
+        key = state << 20 | arc
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) >= PAIRS:
                 self.known.clear()
             found = self.known[key] = self.follow(state, arc)
         return found
@@ -123,7 +123,7 @@ class Automaton:
                 if t is not None and j not in dead:
                     if not path:
                         break
-                    ok = known.get((path[-1], t))
+                    ok = known.get(path[-1] << 20 | t)
                     if ok if ok is not None else self.has_arc(path[-1], t):
                         break
                 j -= 1

@@ -59,7 +59,7 @@ MASKS = covering(RADIUS)
 WORD_RADIUS, WORDS, SIMILAR, MINIMA, SKETCH = 3, 5, 0.8, 3, 128
 WORD_MASKS = covering(WORD_RADIUS)
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9][:MINIMA], np.uint64)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 BLOCK = 1 << 16
 
 
