@@ -661,6 +661,18 @@ def test_language_evidence(documents, docs):
     assert not got[10_004].kept and got[10_004].lang_pred == "und" and not got[10_005].kept
 
 
+def test_language_is_written(documents, docs, monkeypatch):
+    """What goes on has the language that was told, whether few or many rows change."""
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    german = next(t for _, t, lang, _ in rows if lang == "de" and len(t) > 500)
+    rows += [(10_001, german, "en", "src0"), (10_002, german, None, "src0"), (10_003, "12 !", "en", "src0"), (10_004, german, "de-AT", "src0")]
+    got = {x.doc_id: x for x in language.keep(documents(rows)).collect()}
+    assert set(got) == {x[0] for x in rows} - {10_003} and [got[i].lang for i in (10_001, 10_002, 10_004)] == ["de", "de", "de-AT"]
+    assert np.mean([got[i].lang == lang for i, _, lang, _ in rows if i < 10_000]) > 0.98
+    monkeypatch.setattr("tidewatch.llm.common.BROADCAST_ROWS", 1)
+    assert {x.doc_id: x.lang for x in language.keep(documents(rows)).collect()} == {i: x.lang for i, x in got.items()}
+
+
 def test_language_of_many_codes(documents):
     """Each of 45 languages, in a script of its own, is told where texts suffice for a model, long ones too, and kept where not."""
     r = random.Random(2)

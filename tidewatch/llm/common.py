@@ -135,6 +135,11 @@ def rows_again(df: DataFrame, columns: Sequence[str], new: dict[str, Column] | N
     return df.select(*[(new or {}).get(c, F.col("_row")[f"_c{i}"]).alias(c) if columns.index(c) == i else F.col("_row")[f"_c{i}"].alias(c) for i, c in enumerate(columns)])
 
 
+def same(a: Column, b: Column) -> Column:
+    """Whether two values are equal or both null, as a condition that does not become a key of a join."""
+    return F.coalesce(a == b, a.isNull() & b.isNull())
+
+
 def row_key() -> Column:
     """A number that tells texts and ids apart."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import are_few, cut, join_by_group, own_columns, row_key, rows_again, spread, with_row
+from .common import are_few, cut, join_by_group, own_columns, row_key, rows_again, same, spread, with_row
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -168,7 +168,8 @@ def mix(docs: DataFrame) -> DataFrame:
     # Rows that share an id and text are numbered, and share out the copies that all of them got.
     got = got.groupBy("_d", "_h").agg(F.sum("_k").alias("_k"), F.sum("_m").alias("_m")).where("_k > 0")
     keyed = with_row(docs, ("doc_id", "text")).select("_row", "doc_id", row_key().alias("_key"))
-    keyed = keyed.withColumn("_j", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    out = keyed.join(got, (keyed["_key"] == got["_h"]) & keyed["doc_id"].eqNullSafe(got["_d"]))
+    keyed = keyed.withColumn("_j", F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("_key")))
+    # By the hash alone, by which the window has dealt the texts already; ids are compared afterwards, each row has one match at most.
+    out = keyed.join(got, F.col("_key") == F.col("_h")).where(same(F.col("doc_id"), F.col("_d")))
     times = F.floor(F.col("_k") * F.col("_j") / F.col("_m")) - F.floor(F.col("_k") * (F.col("_j") - 1) / F.col("_m"))
     return rows_again(out.withColumn("_c", F.explode(F.array_repeat(F.lit(1), times.cast("int")))), docs.columns)

@@ -17,8 +17,8 @@ Components are found by alternating large-star and small-star steps with a check
 
 ``keep_one`` thins out near copies by the same links and by further ones, as an edited word in fifty moves a fingerprint of three-word shingles by more than the
 radius.  A fingerprint of single words moves far less; it is too coarse to link by itself, but does to propose: texts within ``WORD_RADIUS`` bits of it,
-covered by masks of the same construction, and one of ``MINIMA`` least hashes of the five-word shingles in common.  In each such group
-all are proposed to the one of the least fingerprint, and linked if ``SKETCH`` least hashes of five-word shingles put their similarity at ``SIMILAR`` or more.
+covered by masks of the same construction, and in each table one of ``MINIMA`` least hashes of the five-word shingles in common.  In each such group
+all are proposed to one, and linked if ``SKETCH`` least hashes of five-word shingles put their similarity at ``SIMILAR`` or more.
 
 Edge cases: a null or empty text, or one without words, has the fingerprint zero, which links like any
 other; repeated rows each get a row; a null doc_id is kept and never the smallest of its
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, own_columns, row_key, rows_again, with_row
+from .common import cut, own_columns, row_key, rows_again, same, with_row
 
 RADIUS = 2
 SEED = 42
@@ -176,17 +176,15 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def similar_links(texts: DataFrame) -> DataFrame:
-    """Of texts (fp, words_fp, minima, sketch, one row for each fp and words_fp), edges (u, v), u > v, of fingerprints whose texts are similar."""
-    masked = [F.struct(F.lit(i).alias("t"), F.col("words_fp").bitwiseAND(F.lit(signed(m))).alias("p")) for i, m in enumerate(WORD_MASKS)]
-    met = texts.where(F.size("minima") > 0).select("fp", "words_fp", "minima", F.inline(F.array(*masked))).select("fp", "words_fp", "t", "p", F.posexplode("minima").alias("i", "m"))
-    met = met.select("fp", "words_fp", F.xxhash64("t", "p", "i", "m").alias("g"))
-    both = F.struct("fp", "words_fp")
-    first = met.groupBy("g").agg(F.min(both).alias("a"), F.max(both).alias("b")).where("a < b").select("g", F.col("a.fp").alias("a_fp"), F.col("a.words_fp").alias("a_words"))
-    pairs = met.join(first, "g").where("fp <> a_fp").select("fp", "words_fp", "a_fp", "a_words").distinct()
-    firsts = texts.select(F.col("fp").alias("a_fp"), F.col("words_fp").alias("a_words"), F.col("sketch").alias("a_sketch"))
-    pairs = pairs.join(texts.select("fp", "words_fp", "sketch"), ["fp", "words_fp"]).join(firsts, ["a_fp", "a_words"])
-    near = pairs.where(similarity(F.col("sketch"), F.col("a_sketch")) >= SIMILAR)
-    return near.select(F.col("fp").alias("u"), F.col("a_fp").alias("v")).distinct()  # the least of a group has the least fingerprint
+    """Of texts (n, fp, words_fp, minima, sketch; ``n`` tells them apart), edges (u, v), u > v, of fingerprints whose texts are similar."""
+    masked = [F.xxhash64(F.lit(i), F.col("words_fp").bitwiseAND(F.lit(signed(m))), F.col("minima")[i % MINIMA]) for i, m in enumerate(WORD_MASKS)]
+    met = texts.where(F.size("minima") > 0).select("n", F.explode(F.array(*masked)).alias("g"))
+    first = met.groupBy("g").agg(F.min("n").alias("a"), F.max("n").alias("b")).where("a < b").select("g", "a")
+    pairs = met.join(first, "g").where("n > a").select("n", "a").distinct()
+    own = texts.select("n", "fp", "sketch")
+    pairs = pairs.join(own, "n").join(own.toDF("a", "a_fp", "a_sketch"), "a")
+    near = pairs.where((F.col("fp") != F.col("a_fp")) & (similarity(F.col("sketch"), F.col("a_sketch")) >= SIMILAR))
+    return near.select(F.greatest("fp", "a_fp").alias("u"), F.least("fp", "a_fp").alias("v")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -232,7 +230,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     marked = cut(looked(docs))
     fps = _fingerprints_of(marked)
     texts = marked.groupBy("fp", "words_fp").agg(F.min(F.struct("minima", "sketch")).alias("s"))
-    texts = cut(texts.select("fp", "words_fp", "s.minima", "s.sketch"))
+    texts = cut(texts.select(F.xxhash64("fp", "words_fp").alias("n"), "fp", "words_fp", "s.minima", "s.sketch"))
     # Expressions of their own, as Spark fails on a union of columns that it has inferred a comparison of.
     fresh = lambda df: df.select(*[F.col(c).bitwiseXOR(F.lit(0)).alias(c) for c in ("u", "v")])
     edges = fresh(links(fps.select("fp"))).unionByName(fresh(similar_links(texts)))
@@ -249,6 +247,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("first"))
     first = first.select(F.col("first")["key"].alias("_k"), F.col("first")["doc_id"].alias("_d"))
     keyed = with_row(docs, ("doc_id", "text")).select("_row", "doc_id", row_key().alias("_key"))
-    keyed = keyed.join(first, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    # Joined by the key alone, so that the window needs no exchange of its own; ids are compared afterwards, each row has one match at most.
+    keyed = keyed.join(first, F.col("_key") == F.col("_k")).where(same(F.col("doc_id"), F.col("_d"))).drop("_k", "_d")
     alike = Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64(F.to_json("_row")))
     return rows_again(keyed.withColumn("_n", F.row_number().over(alike)).where("_n = 1"), docs.columns)
