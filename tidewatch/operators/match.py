@@ -7,13 +7,15 @@ measure of each event step), c_branch and c_value (of each close step), and n0..
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.compile import constant, truth
 from ..lang.ast import Branch, Limits
@@ -163,8 +165,12 @@ def modular(plan: StagePlan, events: DataFrame, once: bool = False) -> DataFrame
 # Ordered fold.
 
 
-def emission_row(plan: StagePlan, key: tuple, e: Emission) -> tuple:
-    stamp = lambda us: pd.Timestamp(us, unit="us")
+def _stamp(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
+
+
+def emission_row(plan: StagePlan, key: tuple, e: Emission, stamp: Callable[[int], Any] = _stamp) -> tuple:
+    """An emission as a row; ``stamp`` makes its times of microseconds."""
     final = []
     for need, v in zip(plan.needs, e.needs):
         if need.kind == "list":
@@ -208,29 +214,38 @@ def fold(plan: StagePlan, events: DataFrame, final: str | None, one: bool = Fals
         stamped = stamped.repartition(*apart).sortWithinPartitions(*apart, "_us", "seq", "grp")
     else:
         stamped = stamped.repartition(1).sortWithinPartitions("_us", "seq", "grp")
+    stamped = stamped.drop("ts")
     types = dict(events.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(need_types(plan, events))]])
-    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    schema = T.StructType.fromDDL(", ".join([*[f"{k} {types[k]}" for k in keys], BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(need_types(plan, events))]]))
+    shape = to_arrow_schema(schema)
     names = {c: i for i, c in enumerate(stamped.columns)}
+    real = [i for c, i in names.items() if c in keys and types[c] in ("double", "float")]
     walk = _all_keys if one else _by_key
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for p in parts:
-            yield from zip(*[p[c].astype(object).where(p[c].notna(), None).tolist() for c in p.columns])
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in parts:
+            cols = [c.to_pylist() for c in b.columns]
+            for i in real:  # one object for all that is no number, so that keys of it are equal
+                cols[i] = [NAN if v != v else v for v in cols[i]]
+            yield from zip(*cols)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for key, e in walk(plan, rows(parts), names, len(keys), final):
-            out.append(emission_row(plan, key, e))
+            out.append(emission_row(plan, key, e, int))
             if len(out) >= 5000:
-                yield pd.DataFrame(out, columns=columns)
+                yield batch(out)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield batch(out)
 
-    return stamped.mapInPandas(work, schema)
+    return stamped.mapInArrow(work, schema)
 
 
+NAN = float("nan")
 Emissions = Iterator[tuple[tuple, Emission]]
 
 
