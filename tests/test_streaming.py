@@ -163,3 +163,18 @@ def test_stream_to_sinks(spark, sf, tmp_path):
     q = write_stream(stream_alerts(Engine.of(SCHEMAS, {"events": source}, ORDER), rule), Routes([("all", ["*"])]), {"all": Sink("all", str(tmp_path / "out"))}, str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.json(str(tmp_path / "out")).count() == events.where("event_type = 'error'").count()
+
+
+@pytest.mark.parametrize("name", list(RULES))
+def test_state_by_groups_of_keys(spark, sf, tmp_path, monkeypatch, name):
+    """What the state store is asked for, and holds, grows with groups of keys and not with keys; windows of keys that share a group are kept apart."""
+    monkeypatch.setattr("tidewatch.streaming.processor.SHARDS", 2, raising=False)
+    table, live = fed(spark, sf, tmp_path)
+    rule = table.rules(f"rule r {{ events {{ e : events }} {RULES[name]} entity(user, user_id) yield alerts (n = count(e)) }}")[0]
+    q = stream_alerts(live, rule).writeStream.format("memory").queryName(f"grouped_{name}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = told(table.alerts(rule))
+    assert told(spark.table(f"grouped_{name}")) == want and len(want) > 5
+    days = 31 if "fixed" in RULES[name] else 1
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert 0 < max(held) <= 2 * (days + 3), held

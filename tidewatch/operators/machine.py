@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from typing import Any
 
 from ..functions.compile import constant, truth
@@ -32,6 +32,16 @@ class Tally:
     seen: set[str] | None = None
     held: int = 0  # an estimate of the bytes of ``seen``
 
+    def plain(self) -> int | tuple:
+        """The tally as built-in types: its count, if that is all there is."""
+        if not self.numbers and self.seen is None and self.low_text is None:
+            return self.n
+        return (self.n, self.numbers, self.total, self.low, self.high, self.low_text, self.high_text, self.seen, self.held)
+
+    @staticmethod
+    def of_plain(d: int | tuple) -> Tally:
+        return Tally(*d) if isinstance(d, tuple) else Tally(d)
+
     def add(self, b: Branch, number: float | None, words: str | None) -> bool:
         """Takes a value in; false if it is skipped altogether."""
         if b.distinct:
@@ -88,15 +98,16 @@ class Instance:
         self.created, self.step, self.done, self.tallies, self.close = at, 0, [], {}, {}
         self.needs, self.emitted, self.ok = [None] * needs, False, False
 
-
-    def plain(self) -> dict[str, Any]:
+    def plain(self) -> tuple:
         """The window as built-in types."""
-        return asdict(self)
+        tallies = {i: t.plain() for i, t in self.tallies.items()}
+        close = {i: t.plain() for i, t in self.close.items()}
+        return (self.created, self.last, self.step, self.done, tallies, close, self.needs, self.emitted, self.ok)
 
     @staticmethod
-    def of_plain(d: dict[str, Any]) -> Instance:
-        tallies = {k: {i: Tally(**t) for i, t in d[k].items()} for k in ("tallies", "close")}
-        return Instance(**{**d, **tallies})
+    def of_plain(d: tuple) -> Instance:
+        created, last, step, done, tallies, close, needs, emitted, ok = d
+        return Instance(created, last, step, done, {i: Tally.of_plain(t) for i, t in tallies.items()}, {i: Tally.of_plain(t) for i, t in close.items()}, needs, emitted, ok)
 
 
 @dataclass
@@ -145,6 +156,10 @@ class Machine:
     def expired(self, w: Instance, now: int) -> bool:
         return now >= self.end(w)
 
+    def idle(self, w: Instance) -> bool:
+        """Whether a window is as good as one not yet open: a fixed one that tells nothing as it closes and has begun anew."""
+        return self.kind == "fixed" and self.mode is None and not w.step and not w.tallies and all(v is None for v in w.needs)
+
     def take_needs(self, w: Instance, offer: Offer) -> None:
         for i, need in enumerate(self.plan.needs):
             if need.alias != offer.alias:

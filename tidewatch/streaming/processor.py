@@ -1,10 +1,11 @@
 """Rules over streams: the same matching as in batch, with the open windows in Spark's state store.
 
-Bound events are dealt by key to a stateful processor.  Each key keeps its open windows (one for anchored and
-session windows, one for each bucket of fixed ones) in a map of the state store, of which a batch reads only those that its events or
-timers touch, and a timer at the end of each closes it when the watermark gets there.  Events of a batch are sorted by time; what is
-older than the watermark was dropped before.  Rules with ``max_instances`` or ``max_memory`` count the windows of all keys, so one
-processor holds them all, as in batch.
+Bound events are dealt by a hash of their key to ``SHARDS`` groups, each with a stateful processor: to speak with the state store and to
+make a table takes some milliseconds, which must not be spent on each key.  A group keeps the open windows of its keys together (those of
+anchored and session windows in one piece, those of fixed ones in a piece for each beginning) in a map of the state store, of which a batch
+reads only the pieces that its events or timers touch, and one timer at the first end of its windows, which closes what has ended by the watermark then.
+Events of a batch are sorted by time; what is older than the watermark was dropped before.  Rules with ``max_instances`` or ``max_memory`` count
+the windows of all keys, so one processor holds them all, as in batch.
 
 What needs the emissions of a batch together (``conv``, ``max_throttle``, as-of joins, stages after the first) is done by
 ``write_batches`` on each micro-batch: ``conv`` needs fixed windows, and those that end together close together, when the watermark passes their end.  ``stream_alerts``
@@ -15,9 +16,10 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,26 @@ from ..operators import bind, match, output
 from ..operators.machine import Instance, Machine
 from ..plans.plan import StagePlan, stage_plans
 
-WINDOWS = "windows"
+WINDOWS, ENDS = "windows", "ends"
+#: Groups that keys are dealt to.  A checkpoint holds windows by group, so this can't change under it.
+SHARDS = 1024
+#: Emissions that go on together.
+ROWS = 5000
+TIMES = ("fired", "last", "created", "end")
+
+
+def _same(v: Any) -> Any:
+    """One object for all that is no number, so that keys of it are equal."""
+    return match.NAN if v != v else v
+
+
+def _times(us: Iterable[int]) -> pd.Series:
+    return pd.Series(np.array(us, "datetime64[us]")).dt.tz_localize("UTC")
+
+
+def _first(ends: Mapping[int, int]) -> int | None:
+    """The time of the timer for these ends."""
+    return _millis(min(ends.values())) if ends else None
 
 
 def _millis(us: int) -> int:
@@ -41,91 +62,136 @@ def _millis(us: int) -> int:
 class _Processor(StatefulProcessor):
     """Reads the rows of a batch in order and writes emissions."""
 
-    def __init__(self, plan: StagePlan, columns: list[str], out: list[str]) -> None:
-        self.plan, self.columns, self.out = plan, columns, out
-        self.names = {c: i for i, c in enumerate(columns)}
-
-    def ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        events = pd.concat(list(rows))[self.columns].sort_values(["us", "seq", "grp"])
-        return zip(*[events[c].astype(object).where(events[c].notna(), None).tolist() for c in self.columns])
+    def __init__(self, plan: StagePlan, out: list[str]) -> None:
+        self.plan, self.out = plan, out
+        self.names: dict[str, int] = {}
+        self.keys: list[int] = []
+
+    def ordered(self, parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """The rows in order; ``names`` and ``keys`` are the places of their columns from then on."""
+        some = list(parts)
+        events = some[0] if len(some) == 1 else pd.concat(some, ignore_index=True)
+        read = [i for i, c in enumerate(events.columns) if c not in ("ts", "shard")]
+        self.names = {events.columns[i]: k for k, i in enumerate(read)}
+        self.keys = [self.names[f"k{i}"] for i in range(len(self.plan.key_names))]
+        rows = list(zip(*[events.iloc[:, i].tolist() for i in read]))
+        order = np.lexsort([events[c].to_numpy() for c in ("grp", "seq", "us")])
+        return (rows[i] for i in order.tolist())
+
+    def key(self, row: tuple) -> tuple:
+        return tuple([_same(row[i]) for i in self.keys])
 
     def rows(self, found: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(found, columns=self.out)
+        if found:
+            yield pd.DataFrame({c: _times(v) if c in TIMES else pd.Series(v) for c, v in zip(self.out, zip(*found))})
 
     def close(self) -> None:
         pass
 
 
 class Matcher(_Processor):
-    """One key's windows, by their beginning (0 where there is one at most)."""
+    """The windows of a group's keys, in pieces by their beginning (one piece, 0, where a key has one window at most)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.machine = Machine(self.plan)
         self.state = handle.getMapState(WINDOWS, "at bigint", "data binary")
+        self.ends = handle.getValueState(ENDS, "data binary")
 
-    def load(self, at: int) -> Instance | None:
-        return Instance.of_plain(pickle.loads(bytes(self.state.getValue((at,))[0]))) if self.state.containsKey((at,)) else None
+    def pieces(self) -> dict[int, int]:
+        """The first end of each piece that there is."""
+        got = self.ends.get() if self.ends.exists() else None
+        return pickle.loads(bytes(got[0])) if got else {}
 
-    def save(self, at: int, w: Instance | None, before: int | None) -> None:
-        """Keeps a window, or forgets it; ``before`` is the timer that it had, which moves if its end has."""
-        due = None if w is None else _millis(self.machine.end(w))
-        if before is not None and before != due:
-            self.handle.deleteTimer(before)
-        if w is None:
+    def keep(self, before: int | None, ends: dict[int, int]) -> None:
+        """Keeps what pieces there are; the timer moves from ``before`` if the first end has."""
+        due = _first(ends)
+        if due != before:
             if before is not None:
-                self.state.removeKey((at,))
-            return
-        self.state.updateValue((at,), (pickle.dumps(w.plain()),))
-        if before != due:
-            self.handle.registerTimer(due)
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if ends:
+            self.ends.update((pickle.dumps(ends),))
+        else:
+            self.ends.clear()
+
+    def load(self, at: int, ends: dict[int, int]) -> dict[tuple, Instance]:
+        """A piece: windows by key."""
+        if at not in ends:
+            return {}
+        held = pickle.loads(bytes(self.state.getValue((at,))[0]))
+        return {tuple([_same(v) for v in key]): Instance.of_plain(w) for key, w in held.items()}
+
+    def save(self, at: int, ends: dict[int, int], windows: dict[tuple, Instance]) -> None:
+        """Keeps a piece, or forgets it if there is nothing in it."""
+        held = {key: w for key, w in windows.items() if not self.machine.idle(w)}
+        if held:
+            self.state.updateValue((at,), (pickle.dumps({key: w.plain() for key, w in held.items()}),))
+            ends[at] = min(map(self.machine.end, held.values()))
+        elif at in ends:
+            self.state.removeKey((at,))
+            del ends[at]
 
-    def closed(self, key: tuple, w: Instance, found: list[tuple]) -> None:
+    def closed(self, key: tuple, w: Instance) -> list[tuple]:
         e = self.machine.close(w, "timeout", self.machine.end(w))
-        if e:
-            found.append(match.emission_row(self.plan, key, e))
+        return [(0, *match.emission_row(self.plan, key, e, int))] if e else []
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found, key, fixed = [], tuple(key), self.machine.kind == "fixed"
-        windows: dict[int, Instance | None] = {}
-        timers: dict[int, int | None] = {}
+        found: list[tuple] = []
+        fixed, at = self.machine.kind == "fixed", None
+        windows: dict[tuple, Instance] = {}
+        ends = self.pieces()
+        before = _first(ends)
         for row in self.ordered(rows):
             ts = row[self.names["us"]]
-            at = ts - ts % self.machine.length if fixed else 0
-            if at not in windows:
-                w = windows[at] = self.load(at)
-                timers[at] = None if w is None else _millis(self.machine.end(w))
-            w = windows[at]
-            if w is not None and not fixed and self.machine.expired(w, ts):  # buckets close by the watermark, as others' events may still come for them
-                self.closed(key, w, found)
-                w = windows[at] = None
+            own = ts - ts % self.machine.length if fixed else 0
+            if own != at:
+                if at is not None:
+                    self.save(at, ends, windows)
+                at, windows = own, self.load(own, ends)
+            k = self.key(row)
+            w = windows.get(k)
+            if w is not None and not fixed and self.machine.expired(w, ts):  # fixed ones close by the watermark, as others' events may still come for them
+                found += self.closed(k, w)
+                del windows[k]
+                w = None
             for offer in match.offers_of(self.plan, row, self.names):
                 if w is None:
-                    w = windows[at] = self.machine.open(ts)
+                    w = windows[k] = self.machine.open(ts)
                 e = self.machine.offered(w, ts, offer)
                 if e:
-                    found.append(match.emission_row(self.plan, key, e))
-        for at, w in windows.items():
-            self.save(at, w, timers[at])
+                    found.append((0, *match.emission_row(self.plan, k, e, int)))
+            if len(found) >= ROWS:
+                yield from self.rows(found)
+                found = []
+        if at is not None:
+            self.save(at, ends, windows)
+        self.keep(before, ends)
         yield from self.rows(found)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        found, now = [], expiredTimerInfo.getExpiryTimeInMs()
-        at = now * 1000 - self.machine.length if self.machine.kind == "fixed" else 0
-        w = self.load(at)
-        if w is not None and _millis(self.machine.end(w)) == now:
-            self.closed(tuple(key), w, found)
-            self.state.removeKey((at,))
+        found: list[tuple] = []
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        ends = self.pieces()
+        for at in sorted(at for at, end in ends.items() if end <= now):
+            windows, left = self.load(at, ends), {}
+            for k, w in windows.items():
+                if self.machine.expired(w, now):
+                    found += self.closed(k, w)
+                else:
+                    left[k] = w
+            self.save(at, ends, left)
+            if len(found) >= ROWS:
+                yield from self.rows(found)
+                found = []
+        self.keep(None, ends)  # the timer that went off is taken away by the caller
         yield from self.rows(found)
 
 
 class Crew(_Processor):
     """All keys' windows together; the limits bound what is held."""
 
-    def __init__(self, plan: StagePlan, columns: list[str], out: list[str], n_keys: int) -> None:
-        super().__init__(plan, columns, out)
-        self.n_keys = n_keys
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState(WINDOWS, "data binary")
@@ -144,7 +210,7 @@ class Crew(_Processor):
             self.handle.registerTimer(_millis(min(fleet.machine.end(w) for w in fleet.open.values())))
 
     def emitted(self, got: Iterator[tuple[tuple, Any]]) -> list[tuple]:
-        return [(0, *match.emission_row(self.plan, key, e)) for key, e in got]
+        return [(0, *match.emission_row(self.plan, key, e, int)) for key, e in got]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         fleet, found = self.load(), []
@@ -152,7 +218,7 @@ class Crew(_Processor):
             ts = row[self.names["us"]]
             found += self.emitted(fleet.due(ts))
             if not fleet.failed:
-                found += self.emitted(fleet.offer(tuple(row[self.names[f"k{i}"]] for i in range(self.n_keys)), ts, match.offers_of(self.plan, row, self.names)))
+                found += self.emitted(fleet.offer(self.key(row), ts, match.offers_of(self.plan, row, self.names)))
         self.save(fleet)
         yield from self.rows(found)
 
@@ -167,26 +233,23 @@ def _all_together(plan: StagePlan) -> bool:
     return plan.strategy == "global_fold"
 
 
-def _shape(plan: StagePlan, events: DataFrame) -> tuple[list[str], str]:
-    """The columns that a processor is dealt by, and the schema of what it yields."""
+def _shape(plan: StagePlan, events: DataFrame) -> str:
+    """The schema of what a processor yields."""
     types = dict(events.dtypes)
-    keys = [f"k{i}" for i in range(len(plan.key_names))]
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], match.BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(match.need_types(plan, events))]])
-    alone = not keys or _all_together(plan)
-    return (["everything"], f"everything int, {schema}") if alone else (keys, schema)
+    return ", ".join(["shard int", *[f"k{i} {types[f'k{i}']}" for i in range(len(plan.key_names))], match.BASE_COLUMNS, *[f"n{i} {t}" for i, t in enumerate(match.need_types(plan, events))]])
 
 
 def emissions(engine: Engine, plan: StagePlan, tables: Mapping[str, DataFrame], delay: str) -> DataFrame:
     """The stream of a stage's emissions."""
     events = bind.bind(plan, tables, engine.schemas, engine.order).withWatermark("ts", delay)
-    keys, schema = _shape(plan, events)
+    keys, schema = [f"k{i}" for i in range(len(plan.key_names))], _shape(plan, events)
+    alone = not keys or _all_together(plan)
     # Names must not begin with an underscore: Spark gives such columns others on the way to Python.
-    stamped = events.withColumn("us", F.unix_micros("ts")).withColumn("everything", F.lit(0))
-    columns = [c for c in stamped.columns if c not in ("ts", "everything")]
+    stamped = events.withColumn("us", F.unix_micros("ts")).withColumn("shard", F.lit(0) if alone else F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int"))
     out = [c.split(" ")[0] for c in schema.split(", ")]
-    processor = Crew(plan, columns, out, len(plan.key_names)) if _all_together(plan) else Matcher(plan, columns, out)
-    df = stamped.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
-    return df.drop("everything")
+    processor = (Crew if _all_together(plan) else Matcher)(plan, out)
+    df = stamped.groupBy("shard").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return df.drop("shard")
 
 
 def stream_alerts(engine: Engine, rule: Rule, delay: str = "0 seconds") -> DataFrame:
@@ -263,29 +326,32 @@ def drain(engine: Engine, rule: Rule, checkpoint: str, final: str = "flush") ->
     """
     (plan,) = stage_plans(rule)
     spark = next(iter(engine.tables.values())).sparkSession
-    keys, schema = _shape(plan, bind.bind(plan, engine.tables, engine.schemas, engine.order))
+    schema = _shape(plan, bind.bind(plan, engine.tables, engine.schemas, engine.order)).removeprefix("shard int, ")
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", WINDOWS).load()
     fleet = _all_together(plan)
-    held = state.select(F.col("key").alias("key"), F.col("value.data" if fleet else "user_map_value.data").alias("data"))
-    out = [c.split(" ")[0] for c in schema.split(", ") if not c.startswith("everything")]
-    schema = ", ".join(c for c in schema.split(", ") if not c.startswith("everything"))
-    flat = held.select(*[F.col(f"key.{k}").alias(k) for k in keys], "data")
+    flat = state.select(F.col("value.data" if fleet else "user_map_value.data").alias("data"))
+    out = [c.split(" ")[0] for c in schema.split(", ")]
 
-    def windows(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, dict[str, Any]]]:
+    def windows(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Instance]]:
         for p in parts:
-            for row in zip(*[p[c].astype(object).tolist() for c in p.columns]):
-                got = pickle.loads(bytes(row[-1]))
-                yield from got["open"].items() if fleet else [((tuple(row[:-1]) if keys != ["everything"] else ()), got)]
+            for data in p["data"]:
+                got = pickle.loads(bytes(data))
+                for key, w in (got["open"] if fleet else got).items():
+                    yield key, Instance.of_plain(w)
 
     def latest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"last": [w["last"] for _, w in windows(parts)]}, dtype="int64")
+        last = max((w.last for _, w in windows(parts)), default=None)
+        yield pd.DataFrame({"last": [] if last is None else [last]}, dtype="int64")
 
     now = flat.mapInPandas(latest, "last bigint").agg(F.max("last")).first()[0]
 
     def shut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, found = Machine(plan), []
         for key, w in windows(parts):
-            found += [match.emission_row(plan, key, e) for key, e in match._finish(machine, key, Instance.of_plain(w), now, final)]
+            found += [match.emission_row(plan, key, e) for key, e in match._finish(machine, key, w, now, final)]
+            if len(found) >= ROWS:
+                yield pd.DataFrame(found, columns=out)
+                found = []
         yield pd.DataFrame(found, columns=out)
 
     df = flat.mapInPandas(shut, schema)
