@@ -104,6 +104,21 @@ def test_events_sent(spark, tmp_path):
     assert readers.arrow_ipc(spark, str(tmp_path / "s"), S["a"]).count() == 3
 
 
+def test_events_pass_by_the_driver(spark, tmp_path, monkeypatch):
+    """Frames go from tasks to receivers, as many rows as there are and once if a task's are landed again; the driver takes no rows."""
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
+    df = spark.range(0, 23_000, numPartitions=3).selectExpr("concat('x', id) AS k", "id AS n", "timestamp_micros(id * 1000) AS at")
+    r = tcp.Receiver(str(tmp_path / "sent"))
+    frames = output.send({"a": df}, S, "127.0.0.1", r.port)
+    r.wait(frames)
+    r.close()
+    assert (r.frames, r.rows, r.errors) == (frames, 23_000, 0)
+    assert output.land({"a": df}, S, str(tmp_path / "landed")) == output.land({"a": df}, S, str(tmp_path / "landed")) == frames == 6
+    for place in ("sent", "landed"):
+        got = readers.arrow_ipc(spark, str(tmp_path / place / "s"), S["a"])
+        assert got.agg(F.count("*"), F.count_distinct("k"), F.sum("n"), F.max(F.unix_micros("at"))).first() == (23_000, 23_000, 22_999 * 11_500, 22_999_000)
+
+
 def test_metrics_text(spark, sf, tmp_path):
     """Counters, gauges and histograms of a stream are served as text."""
     m = Metrics()

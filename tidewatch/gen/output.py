@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import itertools
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lang.ast import WindowSchema
 from ..sources import tcp
 
+#: Rows of a frame, at most.
+FRAME = 5000
+
 
 def lines(events: Mapping[str, DataFrame], schemas: Mapping[str, WindowSchema]) -> DataFrame:
     """A column ``value`` of JSON lines of all windows' events, with _stream, _window and _timestamp (nanoseconds), by arrival."""
@@ -30,20 +35,52 @@ def write_lines(events: Mapping[str, DataFrame], schemas: Mapping[str, WindowSch
 
 
 def send(events: Mapping[str, DataFrame], schemas: Mapping[str, WindowSchema], host: str, port: int) -> int:
-    """Sends each window's events to a receiver, a frame for each partition's batch, passing one at a time through the driver."""
-    sent = 0
+    """Sends each window's events to a receiver that all executors can reach, from the tasks that make them; the number of frames comes back.
+
+    Nothing passes through the driver.  A task that is done again sends its frames again.
+    """
+
+    def sent(stream: str, batches: Iterator[pa.RecordBatch]) -> int:
+        return tcp.send(host, port, ((stream, b) for b in batches))
+
+    return _by_task(events, schemas, sent)
+
+
+def land(events: Mapping[str, DataFrame], schemas: Mapping[str, WindowSchema], folder: str) -> int:
+    """Sends each window's events to receivers that land them in a folder which all executors see; the number of frames comes back.
+
+    Each task has a receiver on its own machine, so neither the driver nor any one machine gets all events.  Files are named by
+    task and place, so a task that is done again replaces what it landed.
+    """
+
+    def landed(stream: str, batches: Iterator[pa.RecordBatch]) -> int:
+        part = TaskContext.get().partitionId()
+        receiver = tcp.Receiver(folder, names=(f"{part:05d}-{k:06d}" for k in itertools.count()))
+        try:
+            n = tcp.send("127.0.0.1", receiver.port, ((stream, b) for b in batches))
+            receiver.wait(n)
+        finally:
+            receiver.close()
+        if receiver.errors:
+            raise ValueError(f"{receiver.errors} of {n} frames could not be landed")
+        return n
+
+    return _by_task(events, schemas, landed)
+
+
+def _by_task(events: Mapping[str, DataFrame], schemas: Mapping[str, WindowSchema], do: Callable[[str, Iterator[pa.RecordBatch]], int]) -> int:
+    """The sum of what ``do`` gives for a stream's name and the batches, of ``FRAME`` rows at most, of each task that has any."""
+    n = 0
     for name, df in events.items():
-        own = df.select(*[f"`{f}`" for f, _ in schemas[name].fields])
-        sent += tcp.send(host, port, ((schemas[name].streams[0], pa.table({c: pa.array([r[c] for r in rows]) for c in own.columns})) for rows in _batches(own)))
-    return sent
-
-
-def _batches(df: DataFrame, most: int = 5000):  # noqa: ANN202
-    held = []
-    for row in df.toLocalIterator():
-        held.append(row)
-        if len(held) == most:
-            yield held
-            held = []
-    if held:
-        yield held
+        own, stream = df.select(*[f"`{f}`" for f, _ in schemas[name].fields]), schemas[name].streams[0]
+        if own.limit(FRAME + 1).count() <= FRAME:
+            own = own.coalesce(1)
+
+        def work(parts: Iterator[pa.RecordBatch], stream: str = stream) -> Iterator[pa.RecordBatch]:
+            cut = (b.slice(i, FRAME) for b in parts for i in range(0, b.num_rows, FRAME))
+            first = next(cut, None)
+            if first is not None:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([do(stream, itertools.chain([first], cut))], pa.int64())})
+
+        n += own.mapInArrow(work, "n bigint").agg(F.sum("n")).first()[0] or 0
+    return n

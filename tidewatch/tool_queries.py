@@ -18,7 +18,7 @@ from .lang.schema import parse_schemas
 from .operators import bind, match
 from .plans.plan import stage_plans
 from .queries import DAY, ORACLES, ORDER, QUERIES, SCHEMAS, engine, ev, live, query, scratch, stamp, text_of
-from .sources import metrics, readers, sinks, tcp
+from .sources import metrics, readers, sinks
 from .streaming import memory
 from .streaming.processor import stream_alerts
 
@@ -67,17 +67,12 @@ def source_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_tcp", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, min(epoch_us(ts)) AS first_us FROM events GROUP BY event_type")
 def source_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events sent in frames to a receiver, which keeps them as files for executors to read."""
+    """Events sent in frames to receivers, which keep them as files for executors to read."""
     folder = scratch(spark, "tcp")
     own = urllib.parse.urlparse(folder).path or folder
     pathlib.Path(own).mkdir(parents=True, exist_ok=True)
     events = engine(spark, sf_dir).tables["events"].withColumn("ts", F.col("ts").cast("timestamp"))
-    receiver = tcp.Receiver(own)
-    try:
-        sent = output.send({"events": events}, WINDOWS, "127.0.0.1", receiver.port)
-        receiver.wait(sent)
-    finally:
-        receiver.close()
+    output.land({"events": events}, WINDOWS, own)
     got = readers.arrow_ipc(spark, f"{folder}/events", WINDOWS["events"])
     return got.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min(F.unix_micros("ts")).alias("first_us"))
 
