@@ -58,3 +58,19 @@ def test_ids_tell_alerts_apart(spark):
     got = run(spark, [("xy"[j % 2], 1.0, at(j % 60), j) for j in range(120)], "fold")
     assert got.select("wfx_id").distinct().count() == got.count() > 5
     assert got.where(F.length("wfx_id") != 16).isEmpty()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_sums_are_in_order_of_events(spark, parts):
+    """Sums and means, as measures and in the output, don't depend on how rows are dealt: they add up in order of events, as a fold does."""
+    values = [float(v) for v in (1e16, 1, -1e16, 3, 0.1, 0.2, 0.3, 1e16, 0.7, -1e16)]
+    rows = [(k, v, at(j), j) for k in "xyz" for j, v in enumerate(values)]
+    df = spark.createDataFrame(rows[::-1], "k string, n double, at timestamp, i bigint").repartition(parts, "i")
+    total = 0.0
+    for v in values:
+        total += v
+    text = """rule r { events { e : a } match<k:1m:fixed> { on event { e | count >= 1; } and close { t: e.n | sum > -1; e.n | avg >= 0; } } -> score(t)
+    entity(user, k) yield p (t = t, s = sum(e.n), a = avg(e.n)) }"""
+    schema = SCHEMA + " window p { over = 0 fields { t: float s: float a: float } }"
+    got = Engine.of(schema, {"a": df}, {"a": "i"}).run(text).select("entity_id", "t", "s", "a").collect()
+    assert sorted(map(tuple, got)) == [(k, total, total, total / len(values)) for k in "xyz"]

@@ -68,6 +68,26 @@ def _bucket(seconds: float) -> Column:
     return F.timestamp_micros(us - us % F.lit(length))
 
 
+def _accepted(b: Branch, i: int) -> Column:
+    """Whether a close step takes a row."""
+    return F.col(f"in_{b.source}") & ~F.col(f"ok{i}").eqNullSafe(False)
+
+
+def _in_order(plan: StagePlan, events: DataFrame) -> DataFrame:
+    """``events`` of fixed windows (by ``created``) with running sums in order of events, _r<i> of measures and _rn<i> of needs, and each row's place.
+
+    The last of these is the sum.  Sums of parts, as an aggregate of many tasks makes them, differ in their last digits with the number and order of tasks.
+    """
+    w = Window.partitionBy(*_keys(plan), "created").orderBy("ts", "seq", "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = {f"_r{i}": F.when(_accepted(b, i), F.col(f"v{i}")) for i, b in enumerate(plan.branches[1:], 1) if b.measure in ("sum", "avg") and not b.distinct}
+    own |= {f"_rn{i}": F.col(f"n{i}") for i, need in enumerate(plan.needs) if need.kind in ("sum", "avg")}
+    return events.withColumns({**{c: F.sum(v).over(w) for c, v in own.items()}, "_place": F.row_number().over(w)}) if own else events
+
+
+def _sum(v: Column, running: str | None) -> Column:
+    return F.sum(v) if running is None else F.max_by(running, "_place")
+
+
 def _measure(b: Branch, i: int, accepted: Column, session: bool) -> Column:
     if b.distinct:
         one = F.when(accepted, F.col(f"t{i}"))
@@ -78,7 +98,8 @@ def _measure(b: Branch, i: int, accepted: Column, session: bool) -> Column:
     if b.measure in ("min", "max"):
         f = F.min if b.measure == "min" else F.max
         return f(F.when(accepted, F.col(f"t{i}"))) if isinstance(constant(b.threshold), str) else F.coalesce(f(v), F.lit(float("inf") if b.measure == "min" else float("-inf")))
-    return F.coalesce(F.sum(v) if b.measure == "sum" else F.avg(v), F.lit(0.0))
+    total = _sum(v, None if session else f"_r{i}")
+    return F.coalesce(total if b.measure == "sum" else total / F.count(v), F.lit(0.0))
 
 
 def _holds(b: Branch, measure: Column) -> Column:
@@ -90,14 +111,17 @@ def _holds(b: Branch, measure: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def _need(plan: StagePlan, i: int) -> Column:
+def _need(plan: StagePlan, i: int, session: bool) -> Column:
     need, c = plan.needs[i], F.col(f"n{i}")
     if need.kind == "count":
         return F.coalesce(F.sum(F.when(F.col(f"in_{need.alias}"), 1.0)), F.lit(0.0))
     if need.kind == "list":
         rows = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("ts", "seq", "grp", c.alias("x")))))
         return F.transform(rows, lambda r: r["x"])
-    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "distinct": lambda x: F.size(F.collect_set(x)).cast("double")}[need.kind](c)
+    if need.kind in ("sum", "avg"):
+        total = _sum(c, None if session else f"_rn{i}")
+        return total if need.kind == "sum" else total / F.count(c)
+    return {"min": F.min, "max": F.max, "distinct": lambda x: F.size(F.collect_set(x)).cast("double")}[need.kind](c)
 
 
 def close_agg(plan: StagePlan, events: DataFrame, final: str | None, clock: int | None = None) -> DataFrame:
@@ -109,14 +133,14 @@ def close_agg(plan: StagePlan, events: DataFrame, final: str | None, clock: int
     enter = F.col(f"in_{first.source}") & F.coalesce(F.col("ok0"), F.lit(False))
     aggs = [_measure(first, 0, enter, session).alias("_e"), F.max("ts").alias("last"), F.min("ts").alias("_first")]
     for i, b in enumerate(plan.branches[1:], 1):
-        aggs.append(_measure(b, i, F.col(f"in_{b.source}") & ~F.col(f"ok{i}").eqNullSafe(False), session).alias(f"_c{i}"))
-    aggs += [_need(plan, i).alias(f"n{i}") for i in range(len(plan.needs))]
+        aggs.append(_measure(b, i, _accepted(b, i), session).alias(f"_c{i}"))
+    aggs += [_need(plan, i, session).alias(f"n{i}") for i in range(len(plan.needs))]
     if session:  # Spark joins events that are just the gap apart, which are two sessions here
         window = F.session_window("ts", f"{round(length * 1_000_000) - 1} microseconds")
         grouped = events.groupBy(window.alias("_w"), *keys).agg(*aggs).withColumn("created", F.col("_first")).drop("_w")
         grouped = grouped.withColumn("end", F.col("last") + F.expr(f"INTERVAL {length} SECOND"))
     else:
-        grouped = events.withColumn("created", _bucket(length)).groupBy("created", *keys).agg(*aggs)
+        grouped = _in_order(plan, events.withColumn("created", _bucket(length))).groupBy("created", *keys).agg(*aggs)
         grouped = grouped.withColumn("end", F.col("created") + F.expr(f"INTERVAL {length} SECOND"))
     met = F.col("_e") >= least
     grouped = (grouped.where(met) if m.close_mode == "and" else grouped).withColumn("_wm", watermark(events, clock))
