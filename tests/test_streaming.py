@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.engine import Engine
+from tidewatch.lang.ast import Limits
 from tidewatch.lang.tokens import RuleError
+from tidewatch.operators import match
 from tidewatch.queries import ORDER, SCHEMAS, engine
 from tidewatch.sources.sinks import Routes, Sink, load_config, matches, uncovered, write_stream
 from tidewatch.streaming.late import apply_policy, split_late
@@ -178,3 +180,11 @@ def test_state_by_groups_of_keys(spark, sf, tmp_path, monkeypatch, name):
     days = 31 if "fixed" in RULES[name] else 1
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
     assert 0 < max(held) <= 2 * (days + 3), held
+
+
+def test_throttle_passes_on_few_rows(spark):
+    """Of emissions that a throttle stops, only the last of each Arrow batch goes on, for the state after it."""
+    df = spark.range(30_000).selectExpr("'event' AS origin", "timestamp_seconds(id) AS fired", "timestamp_seconds(0) AS created", "id AS k0", "array(id) AS x")
+    rows = match.marked(df, Limits(max_throttle="3/h", on_exceed="throttle"))
+    assert rows.count() <= 9 * 3 + 30_000 / 1000 and [r.k0 for r in match.kept(rows).orderBy("k0").limit(4).collect()] == [0, 1, 2, 3600]
+    assert rows.agg(F.max_by(F.struct("_count", F.unix_seconds(F.timestamp_micros("_start"))), "_at")).first()[0] == (3, 28_800) and rows.schema["x"].dataType.simpleString() == "array<bigint>"

@@ -434,10 +434,10 @@ UNTHROTTLED: Throttle = (-(1 << 62), 0, False)
 
 
 def marked(emissions: DataFrame, limits: Limits, state: Throttle = UNTHROTTLED) -> DataFrame:
-    """``emissions`` in order of time, each with ``_keep``, and _start, _count and _failed after it; ``state`` is that before the first.
+    """The ``emissions`` that pass (``_keep``) in order of time, with _start, _count and _failed after each, and some that don't, the last one among them; ``state`` is that before the first.
 
     At most so many are kept in a span that begins with the first one after the span before.  Only emissions pass through the one
-    partition, not events.  With fail_rule nothing is kept after the first that is too many.
+    partition, not events, and of these only the time is looked at.  With fail_rule nothing is kept after the first that is too many.
     """
     most, span = limits.throttle()[0], round(limits.throttle()[1] * 1_000_000)
     stop = limits.on_exceed == "fail_rule"
@@ -445,22 +445,31 @@ def marked(emissions: DataFrame, limits: Limits, state: Throttle = UNTHROTTLED)
     rank = F.when(F.col("origin") == "event", 1).otherwise(0)
     ordered = emissions.withColumn("_us", F.unix_micros("fired")).repartition(1).sortWithinPartitions("_us", rank, "created", *keys)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    added = "_keep boolean, _start bigint, _count bigint, _failed boolean, _at bigint"
+    schema = T.StructType([*emissions.schema.fields, *T.StructType.fromDDL(added).fields])
+    marks = to_arrow_schema(T.StructType.fromDDL(added))
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (start, count, failed), at = state, 0
-        for p in parts:
-            rows = []
-            for us in p["_us"].tolist():
+        for b in parts:
+            places, rows = [], []
+            for i, us in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 if us - start >= span:
                     start, count = us, 0
                 full = count >= most
                 failed |= stop and full
                 count += not full
-                rows.append((not full and not failed, start, count, failed, at))
+                keep = not full and not failed
+                if keep or i == b.num_rows - 1:  # the last one, for the state after it
+                    places.append(i)
+                    rows.append((keep, start, count, failed, at))
                 at += 1
-            yield p.drop(columns="_us").assign(**{c: [r[i] for r in rows] for i, c in enumerate(("_keep", "_start", "_count", "_failed", "_at"))})
+            if rows:
+                own = b.take(pa.array(places, pa.int64()))
+                columns = [*own.columns[:-1], *[pa.array(c, f.type) for c, f in zip(zip(*rows), marks)]]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    added = "_keep boolean, _start bigint, _count bigint, _failed boolean, _at bigint"
-    return ordered.mapInPandas(work, T.StructType([*emissions.schema.fields, *T.StructType.fromDDL(added).fields]))
+    return ordered.mapInArrow(work, schema)
 
 
 def kept(rows: DataFrame) -> DataFrame:

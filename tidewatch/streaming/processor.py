@@ -268,16 +268,16 @@ def stream_alerts(engine: Engine, rule: Rule, delay: str = "0 seconds") -> DataF
 
 
 def _throttled(df: DataFrame, plan: StagePlan, folder: str, batch: int) -> DataFrame:
-    """What ``max_throttle`` lets pass of a batch.  The state after each batch is a small table named by its number, so a batch that is done again begins as it did."""
+    """What ``max_throttle`` lets pass of a batch, as ``match.marked`` gives it, persisted.  The state after each batch is a small table named by its number, so a batch that is done again begins as it did."""
     spark = df.sparkSession
     state = match.UNTHROTTLED
     if batch:
         r = spark.read.parquet(f"{folder}/throttle/{batch - 1}").first()
         state = (r["_start"], r["_count"], r["_failed"])
-    rows = match.marked(df, plan.limits, state)
+    rows = match.marked(df, plan.limits, state).persist()  # those that pass, and a few more
     last = rows.agg(F.max_by(F.struct("_start", "_count", "_failed"), "_at").alias("s")).first()["s"]
     spark.createDataFrame([tuple(last or state)], "_start bigint, _count bigint, _failed boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/throttle/{batch}")
-    return match.kept(rows)
+    return rows
 
 
 def write_batches(engine: Engine, rule: Rule, write: Callable[[DataFrame, int], None], folder: str, delay: str = "0 seconds", trigger: Mapping[str, Any] | None = None) -> list[StreamingQuery]:
@@ -294,18 +294,19 @@ def write_batches(engine: Engine, rule: Rule, write: Callable[[DataFrame, int],
         found = emissions(engine, plan, tables, delay)
 
         def each(df: DataFrame, batch: int, k: int = k, plan: StagePlan = plan, last: bool = last) -> None:
-            kept = df.persist()
+            kept, held = df, [df.persist()]
             try:
                 if plan.limits and plan.limits.max_throttle:
-                    kept = _throttled(df, plan, folder, batch)
+                    held.append(_throttled(df, plan, folder, batch))
+                    kept = match.kept(held[-1])
                 rows = engine.joined(rule, plan, kept)
                 if last:
                     write(engine.told(rule, plan, engine.conversed(rule, plan, rows)), batch)
                 else:
                     output.stage_rows(plan, rows).write.mode("overwrite").parquet(f"{folder}/stage{k}/batch={batch}")
             finally:
-                kept.unpersist()
-                df.unpersist()
+                for one in held:
+                    one.unpersist()
 
         started = found.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint{k}").trigger(**(trigger or {"availableNow": True})).start()
         queries.append(started)
